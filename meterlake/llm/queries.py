@@ -7,19 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import line_dedup, mixing, url_filter
-from meterlake.llm.common import cut
+from meterlake.llm import bpe, language_id, line_dedup, mixing, toxicity, url_filter
+from meterlake.llm.common import cut, held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The byte-level vocabulary that the queries encode with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.digest_kept(docs, line_dedup.keep_bitmaps(docs))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = language_id.predict(docs, language_id.fit_unheld(docs))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sized = cut(docs.select("doc_id", "source", mixing.word_count("text").alias("size")))
@@ -68,7 +91,14 @@ FROM parts LEFT JOIN best USING (page_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_line_dedup": op2_line_dedup, "op8_mixing": op8_mixing, "op10_url_filter": op10_url_filter}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op2_line_dedup": op2_line_dedup,
+        "op4_language_id": op4_language_id,
+        "op7_bpe": op7_bpe,
+        "op8_mixing": op8_mixing,
+        "op10_url_filter": op10_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
