@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import bpe, language_id, line_dedup, mixing, toxicity, url_filter
+from meterlake.llm import bpe, language_id, line_dedup, mixing, quality_rules, toxicity, url_filter
 from meterlake.llm.common import cut, held_out
 
 
@@ -33,6 +33,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest_kept(docs, line_dedup.keep_bitmaps(docs))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("distance")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = language_id.predict(docs, language_id.fit_unheld(docs))
@@ -94,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_line_dedup": op2_line_dedup,
+        "op3_quality_rules": op3_quality_rules,
         "op4_language_id": op4_language_id,
         "op7_bpe": op7_bpe,
         "op8_mixing": op8_mixing,
