@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import bpe, language_id, line_dedup, mixing, quality_rules, toxicity, url_filter
+from meterlake.llm import bpe, edit_fingerprint, language_id, line_dedup, mixing, quality_rules, toxicity, url_filter
 from meterlake.llm.common import cut, held_out
 
 
@@ -58,6 +58,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size")).alias("taken"))
 
 
+def op9_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -94,6 +98,17 @@ FROM parts LEFT JOIN best USING (page_id)
 """
 
 
+OP9_CHECK_SQL = r"""
+WITH nexts AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC), first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS after
+  FROM documents)
+SELECT doc_id, length(text) AS n_chars,
+  sha256(substr(text, 1, length(text) - length(text) // 2) || substr(after, 1, length(text) // 2)) AS edited_sha256
+FROM nexts
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -102,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op7_bpe": op7_bpe,
         "op8_mixing": op8_mixing,
+        "op9_edit_fingerprint": op9_edit_fingerprint,
         "op10_url_filter": op10_url_filter,
     }
 
