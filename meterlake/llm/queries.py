@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import bpe, edit_fingerprint, language_id, line_dedup, mixing, quality_rules, toxicity, url_filter
-from meterlake.llm.common import cut, held_out
+from meterlake.llm import bpe, edit_fingerprint, language_id, line_dedup, mixing, quality_rules, token_counts, toxicity, url_filter
+from meterlake.llm.common import cut, held_out, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are written as flat token files to the shared folder, then counted from these alone."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    token_counts.write_blocks(_table(spark, sf_dir, "documents"), tokenizer_path(), path)
+    return token_counts.count_documents(path, spark).select(F.col("id").alias("doc_id"), "n_tokens")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -115,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op4_language_id": op4_language_id,
+        "op6_token_counts": op6_token_counts,
         "op7_bpe": op7_bpe,
         "op8_mixing": op8_mixing,
         "op9_edit_fingerprint": op9_edit_fingerprint,
