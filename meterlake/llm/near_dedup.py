@@ -295,25 +295,30 @@ def exact_components(docs: DataFrame, reps: DataFrame, k: int, id_col: str, text
     return components(dealt.mapInArrow(_streamed(3, _exact_links(percent)), "u binary, v binary"))
 
 
-def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """Per row: id, n_shingles, component_id (the smallest id of its group), kept (id = component_id).
-
-    Two texts are linked if 100 times their shingle sets' intersection is at least ``percent`` times their
-    union; groups are the components. Texts without words have no shingles and are linked with
-    nothing. Rows that repeat an id are compared by their own texts; those that have the kept id all
-    stay. A null id never names a group that has another; a group of null ids alone has a null
-    component_id and is kept. Other columns aren't read; an empty table gives no rows.
-    """
+def group_rows(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``near_groups`` with the columns id, row (hash of the text), n, component_id, kept."""
     rows = cut(sketch(docs, k, id_col, text_col))
     classes = cut(rows.filter("fp is not null").groupBy("fp").agg(F.min(F.struct("id", "row")).alias("one"), F.max("n").alias("n"), F.max("regs").alias("regs")))
     clusters = loose_clusters(classes.select("fp", "n", "regs"))
     reps = classes.select("fp", "one.id", "one.row").join(clusters.select(F.col("node").alias("fp"), F.col("component").alias("cluster")), "fp")
     linked = exact_components(docs, reps, k, id_col, text_col, percent).select(F.col("node").alias("fp"), "component")
     label = F.coalesce("component", "fp")
-    whole = cut(rows.drop("regs", "row").join(linked, "fp", "left").withColumn("label", label).drop("component", "fp"))
+    whole = cut(rows.drop("regs").join(linked, "fp", "left").withColumn("label", label).drop("component", "fp"))
     least = cut(whole.filter("label is not null").groupBy("label").agg(F.min("id").alias("least"), F.count("*").alias("size")).filter("size > 1").drop("size"))
     least = F.broadcast(least) if least.count() <= BROADCAST_ROWS else least
     out = whole.join(least, "label", "left")
     component = F.when(F.col("label").isNull(), F.col("id")).otherwise(F.coalesce("least", "id"))
     out = out.withColumn("component_id", component)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("id", "row", "n", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """Per row: id, n_shingles, component_id (the smallest id of its group), kept (id = component_id).
+
+    Two texts are linked if 100 times their shingle sets' intersection is at least ``percent`` times their
+    union; groups are the components. Texts without words have no shingles and are linked with
+    nothing. Rows that repeat an id are compared by their own texts; those that have the kept id all
+    stay. A null id never names a group that has another; a group of null ids alone has a null
+    component_id and is kept. Other columns aren't read; an empty table gives no rows.
+    """
+    return group_rows(docs, k, id_col, text_col, percent).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
