@@ -6,7 +6,7 @@ lowest rank. A merge sets three leaves and their paths anew (logarithmic), until
 numpy keeps the trees of many pre-tokens side by side and takes a step of all at once.
 
 Texts are cut into chunks (a space and what is not white space, or white space) that merges never
-cross, so results are kept by chunk in a bounded table in each Python worker. Nothing is shuffled.
+cross, so results are kept by chunk in a bounded table during a task. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ _SAFE_CUT = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+", regex.V0)
 _NONE = 1 << 62
 _PLACE = (1 << 40) - 1
-#: Chunks kept by a worker; beyond, the table starts anew.
+#: Chunks kept at once; beyond, the table starts anew.
 CACHE_CHUNKS = 400_000
 #: Texts are handled in parts of about so many characters.
 PART_CHARS = 1 << 19
@@ -65,8 +65,9 @@ class BytePairEncoder:
         self.merged = np.zeros(len(spec["merges"]), np.int64)
         self.merged[self.pair_ranks] = [self.pair[k][1] for k in keys]
         self.byte_table = np.array(self.byte_ids, np.int64)
-        self.kept: dict[str, tuple[str, bytes, bytes]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.names = [str(i) for i in range(max(self.bytes) + 1)]
+        self.kept: dict[str, tuple[str, bytes]] = {}
+        self.pieces: dict[str, tuple[str, bytes]] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
         """The ids after all merges of one pre-token."""
@@ -174,26 +175,36 @@ class BytePairEncoder:
             rows = rows[tree[rows, 1] != _NONE]
         return [row[keep].tolist() for row, keep in zip(ids, alive, strict=True)]
 
-    def entries(self, chunks: list[str]) -> list[tuple[str, bytes, bytes]]:
-        """For each chunk: its decimal ids joined, its ids as uint32, its decoded bytes."""
+    def entries(self, chunks: list[str]) -> list[tuple[str, bytes]]:
+        """For each chunk: its decimal ids joined, its decoded bytes."""
         new = {c for c in chunks if c not in self.kept}
         if new:
             if len(self.kept) + len(new) > CACHE_CHUNKS:
-                self.kept.clear()
-                self.pieces.clear()
+                self.forget()
                 new = set(chunks)
             cut = {c: _PIECE.findall(c) for c in new}
             fresh = list({p for ps in cut.values() for p in ps if p not in self.pieces})
-            self.pieces.update(zip(fresh, self.merge_many([p.encode("utf-8", "surrogatepass") for p in fresh]), strict=True))
+            names, table = self.names, self.bytes
+            for p, ids in zip(fresh, self.merge_many([p.encode("utf-8", "surrogatepass") for p in fresh]), strict=True):
+                self.pieces[p] = (",".join([names[i] for i in ids]), b"".join([table[i] for i in ids]))
+            pieces = self.pieces
             for c, ps in cut.items():
-                ids = [i for p in ps for i in self.pieces[p]]
-                self.kept[c] = (",".join(map(str, ids)), np.array(ids, "<u4").tobytes(), b"".join([self.bytes[i] for i in ids]))
+                if len(ps) == 1:
+                    self.kept[c] = pieces[c]
+                else:
+                    own = [pieces[p] for p in ps]
+                    self.kept[c] = (",".join([e[0] for e in own]), b"".join([e[1] for e in own]))
         out = [self.kept[c] for c in chunks]
         for long in [c for c in new if len(c) > 64]:
             del self.kept[long]
         return out
 
-    def parts(self, texts: list[str]) -> Iterator[tuple[int, list[tuple[str, bytes, bytes]]]]:
+    def forget(self) -> None:
+        """Drop what is kept; tasks do so at their end, as a worker outlives them."""
+        self.kept.clear()
+        self.pieces.clear()
+
+    def parts(self, texts: list[str]) -> Iterator[tuple[int, list[tuple[str, bytes]]]]:
         """(Number of the text, entries of its next part), in order; short texts are looked up together."""
         waiting: list[tuple[int, list[str]]] = []
         size = 0
@@ -211,7 +222,7 @@ class BytePairEncoder:
                 if odd % 2:
                     yield from flush()
                     i = self.special[run]
-                    yield k, [(str(i), np.array([i], "<u4").tobytes(), self.bytes[i])]
+                    yield k, [(str(i), self.bytes[i])]
                     continue
                 start = 0
                 while start < len(run):
@@ -227,10 +238,10 @@ class BytePairEncoder:
         yield from flush()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        ids: list[list[bytes]] = [[] for _ in texts]
+        ids: list[list[str]] = [[] for _ in texts]
         for k, part in self.parts(texts):
-            ids[k] += [e[1] for e in part]
-        return [np.frombuffer(b"".join(x), "<u4") for x in ids]
+            ids[k] += [e[0] for e in part]
+        return [np.fromstring(",".join(x), np.int64, sep=",") if x else np.zeros(0, np.int64) for x in ids]
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text: number of ids, sha256 of the decimal ids joined by commas, sha256 of the decoded text."""
@@ -240,7 +251,7 @@ class BytePairEncoder:
             if joined:
                 mine[1].update((("," if mine[0] else "") + joined).encode())
                 mine[0] += joined.count(",") + 1
-            mine[2].update(b"".join([e[2] for e in part]))
+            mine[2].update(b"".join([e[1] for e in part]))
         return [(n, ids.hexdigest(), text.hexdigest()) for n, ids, text in state]
 
 
@@ -279,6 +290,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             rows = bpe.digests([text or "" for text in batch.column(1).to_pylist()])
             n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -293,6 +305,7 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         for batch in batches:
             ids = [x.astype(np.int32) for x in bpe.encode([text or "" for text in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
+        bpe.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")

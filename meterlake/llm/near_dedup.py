@@ -50,7 +50,7 @@ _MAX_WORDS = 400_000
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes; those of words seen by this worker are kept, up to a bound."""
+    """64-bit hashes; those of words seen in this task are kept, up to a bound."""
     if len(_WORDS) > _MAX_WORDS:
         _WORDS.clear()
     get = _WORDS.get
@@ -167,6 +167,7 @@ def sketch(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                     prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     regs.append(next(rows).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(regs, pa.binary())], names=["id", "row", "n", "fp", "regs"])
+        _WORDS.clear()
 
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     return named.mapInArrow(run, "id long, row long, n long, fp binary, regs binary")
@@ -286,6 +287,7 @@ def exact_components(docs: DataFrame, reps: DataFrame, k: int, id_col: str, text
             for lo, hi in runs(np.array([len(t or "") for t in texts], np.int64), CHUNK_CHARS):
                 sets = shingle_sets(texts[lo:hi], k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "fp", "n", "set"])
+        _WORDS.clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     found = rows.join(wanted, rows.id.eqNullSafe(wanted.id) & (rows.row == wanted.row)).select(F.xxhash64("cluster").alias("cluster"), "fp", "text")

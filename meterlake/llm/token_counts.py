@@ -58,6 +58,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
                     block += full
                     held = [flat[full * block_tokens :]]
                     size = len(held[0])
+        bpe.forget()
         if size:
             yield _rows("block", file, [block], [None], [np.concatenate(held).tobytes()])
 

@@ -94,7 +94,7 @@ def craft_facts(days: DataFrame) -> DataFrame:
         days,
         {
             "deep-memory": (F.min(F.when(share >= 0.8, F.col("date"))), F.max(share)),
-            "echo": (F.min(F.when(payoff >= 10, F.col("date"))), F.max(F.least(payoff, F.lit(10.0)))),
+            "echo": (F.min(F.when(payoff >= 10, F.col("date"))), F.max(F.when(payoff.isNotNull(), F.least(payoff, F.lit(10.0))))),
             "trio": (F.min(F.when(tools >= 3, F.col("date"))), F.max(tools)),
         },
     )

@@ -1,0 +1,37 @@
+"""Made-up usage, for tests and benches: sessions by day, projects by a Zipf law, cache reads that grow in a session."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meterlake.sources.adapters import total_of
+
+COMPACT_AT = 170_000
+
+
+def usage(spark: SparkSession, days: int, per_day: int, seed: int = 1, projects: int = 5, start: str = "2024-01-01") -> DataFrame:
+    """Raw events of ``days`` days with about ``per_day`` requests each, the same for a seed.
+
+    A session is twenty requests; its context grows with each and falls back at ``COMPACT_AT`` tokens. One request
+    in ten misses the cache.
+    """
+    n = spark.range(days * per_day).withColumn("seq", F.col("id"))
+    r = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
+    weights = [1 / (i + 1) for i in range(projects)]
+    cum = [sum(weights[: i + 1]) / sum(weights) for i in range(projects)]
+    session = F.floor(F.col("id") / 20)
+    own = F.pmod(F.xxhash64(session, F.lit(seed)), F.lit(1000)) / 1000.0
+    project = F.coalesce(*[F.when(own <= c, F.lit(f"p{i}")) for i, c in enumerate(cum)], F.lit(f"p{projects - 1}"))
+    step = F.col("id") % 20
+    context = ((step + 1) * 9000 + F.floor(r(1) * 2000)) % COMPACT_AT
+    missed = r(2) < 0.1
+    rows = n.select(
+        (F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(F.floor(F.col("id") / per_day).cast("int"), F.lit(8), (F.col("id") % per_day * 600 / per_day).cast("int"))).alias("ts"),
+        F.element_at(F.array(*[F.lit(t) for t in ("claude", "codex", "gemini")]), (F.pmod(session, F.lit(3)) + 1).cast("int")).alias("tool"),
+        F.concat(F.lit("m"), F.pmod(session, F.lit(4))).alias("model"), project.alias("project"), F.concat(F.lit("s"), session).alias("session"),
+        (200 + F.floor(r(3) * 1800)).cast("bigint").alias("input"), (100 + F.floor(r(4) * 900)).cast("bigint").alias("output"),
+        F.when(missed, context).otherwise(2000).cast("bigint").alias("cache_write"), F.when(missed, 0).otherwise(context).cast("bigint").alias("cache_read"),
+        F.lit(0).cast("bigint").alias("reasoning"), F.lit(0).cast("bigint").alias("other"), "seq",
+    )
+    return rows.withColumn("total", total_of())
