@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm import bpe, language_id, line_dedup, mixing, near_dedup
-from meterlake.llm.common import cut, small
+from meterlake.llm.common import boxed, cut, small, unboxed
 from meterlake.llm.queries import tokenizer_path
 
 #: A document stays if its language's posterior is at least this.
@@ -23,8 +23,8 @@ BROADCAST_ROWS = 500_000
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found: not ``und``, and with a score of at least ``LEAST_SCORE``."""
     model = language_id.fit_unheld(docs)
-    judged = language_id.predict(docs, model, keep=docs.columns)
-    return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    judged = language_id.predict(boxed(docs, "text"), model, keep=["doc", "text"])
+    return unboxed(judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs.columns, "text")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +38,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = near_dedup.group_rows(docs.select("doc_id", "text"), k=5)
     dropped = small(cut(groups.filter("not kept").select(F.col("id").alias("_id"), F.col("row").alias("_row")).distinct()), BROADCAST_ROWS)
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row"))
-    return docs.join(dropped, same, "left_anti")
+    return unboxed(boxed(docs, "doc_id", "text").join(dropped, same, "left_anti"), docs.columns, "doc_id", "text")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, or up to three times."""
-    sized = docs.withColumn("_size", mixing.word_count("text"))
+    bare = ("doc_id", "source", "text")
+    sized = boxed(docs, *bare).withColumn("size", mixing.word_count("text"))
     members = F.array("source")
-    mix = mixing.plan_mix(cut(sized.select("doc_id", "source", "_size")), "doc_id", "_size", members)
-    taken = mixing.with_taken(sized, mix, "doc_id", "_size", members, "_taken").filter("_taken > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_taken")))).select(*docs.columns)
+    mix = mixing.plan_mix(cut(sized.select("doc_id", "source", "size")), "doc_id", "size", members)
+    taken = mixing.with_taken(sized, mix, "doc_id", "size", members, "taken").filter("taken > 0")
+    return unboxed(taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("taken")))), docs.columns, *bare)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

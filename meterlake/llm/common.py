@@ -49,6 +49,17 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def boxed(docs: DataFrame, *bare: str) -> DataFrame:
+    """The columns ``bare``, and all others inside one struct ``doc``, so that no name of theirs clashes with a working column."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in bare]
+    return docs.select(F.struct(*(rest or [F.lit(True).alias("none")])).alias("doc"), *[F.col(f"`{c}`") for c in bare])
+
+
+def unboxed(rows: DataFrame, columns: list[str], *bare: str) -> DataFrame:
+    """``columns`` in their order: those in ``bare`` as they stand in ``rows``, the others from ``doc``."""
+    return rows.select(*[F.col(f"`{c}`") if c in bare else F.col(f"doc.`{c}`").alias(c) for c in columns])
+
+
 def held_out(doc_id: str | Column) -> Column:
     """Whether crc32(id as text) mod 5 is 0; a null id is never held out."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

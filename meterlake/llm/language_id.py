@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterlake.llm.common import codes, held_out, mix64, runs, segment_sums, uniform
 
@@ -138,8 +139,8 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                     lang[i], score[i] = known.languages[b], p
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[*named, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in named)
-    return docs.select(*named, F.col(text_col).alias("_li_text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in named]).add("lang_pred", "string").add("score", "double")
+    return docs.select(*named, F.col(text_col).alias("_li_text")).mapInArrow(run, schema)
 
 
 def fit_unheld(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType, StringType
 
-from meterlake.llm.common import LOWER, NULL_ID, SPACES, UPPER, cut
+from meterlake.llm.common import LOWER, NULL_ID, SPACES, UPPER, boxed, cut, unboxed
 
 MIN_CODE_POINTS = 10
 #: Bitmaps of up to so many bytes together are broadcast; beyond, the join shuffles.
@@ -188,5 +188,5 @@ def _apply_bitmap(text, bitmap):
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns, the text without the lines that its bitmap drops (a null text stays null)."""
-    out = with_bitmaps(docs, bitmaps, id_col, text_col)
-    return out.withColumn(text_col, _apply_bitmap(text_col, "_ld_bitmap")).select(*docs.columns)
+    out = with_bitmaps(boxed(docs, id_col, text_col), bitmaps, id_col, text_col)
+    return unboxed(out.withColumn(text_col, _apply_bitmap(text_col, "_ld_bitmap")), docs.columns, id_col, text_col)

@@ -6,7 +6,7 @@ pass is free, each further pass over it costs more, so words repeat only where q
 The flow into a pattern is so many whole passes and a rest; the rest is taken from documents in the
 order of a seeded hash. Which ones follows from sums over hash buckets, found in two steps, so that
 no source is ever sorted or gathered; what a bucket boundary leaves open is filled by the largest
-documents that still fit.
+documents that still fit, and at last by the one of the nearest size.
 """
 
 from __future__ import annotations
@@ -149,19 +149,21 @@ def plan_mix(docs: DataFrame, id_col: str, size_col: str, members: Column, weigh
     rest = {p: words[p] - passes[p] * n for p, n in members_of.items()}
     cut_at, left = _cuts(docs.sparkSession, base, rest)
     picked: dict = {p: [] for p in rest}
-    for _ in range(fill_rounds):
-        wanted = [(*_args(p), cut_at[p], left[p], picked[p]) for p in rest if left[p] > 0]
+    filling = set(rest)
+    for step in range(fill_rounds + 1):
+        last = step == fill_rounds  # then the nearest size may also exceed what is left
+        wanted = [(*_args(p), cut_at[p], left[p], picked[p]) for p in rest if left[p] > 0 and (last or p in filling)]
         if not wanted:
-            break
+            continue
         side = _frame(docs.sparkSession, wanted, "cut int, left long, picked array<long>")
-        fits = base.join(F.broadcast(side), "pattern").filter("size > 0 and size <= left and shiftright(h, 24) >= cut and not array_contains(picked, h)")
-        best = fits.groupBy("pattern").agg(F.max(F.struct("size", "h")).alias("best")).collect()
-        taken = {_key(r.pattern): r.best for r in best}
+        free = base.join(F.broadcast(side), "pattern").filter("size > 0 and shiftright(h, 24) >= cut and not array_contains(picked, h)")
+        near = free.filter("size < 2 * left").groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")), "size", "h")).alias("best"))
+        best = near if last else free.filter("size <= left").groupBy("pattern").agg(F.max(F.struct("size", "h")).alias("best"))
+        taken = {_key(r.pattern): r.best for r in best.collect()}
         for p, doc in taken.items():
             picked[p].append(doc["h"])
             left[p] -= doc["size"]
-        for p in set(left) - set(taken):
-            left[p] = 0
+        filling &= set(taken)
     mix.rows = [(*_args(p), int(passes[p]), cut_at[p], picked[p]) for p in members_of]
     return mix
 
@@ -199,11 +201,10 @@ def _cuts(spark, base: DataFrame, rest: dict) -> tuple[dict, dict]:
 
 def with_taken(docs: DataFrame, mix: Mix, id_col: str, size_col: str, members: Column, name: str = "taken") -> DataFrame:
     """``docs`` with the number of passes that the mix takes over each document, as ``name``; the sides by pattern are small by ``MAX_PATTERNS``."""
-    side = _frame(docs.sparkSession, mix.rows, "_mx_passes long, _mx_cut int, _mx_picked array<long>").withColumnRenamed("pattern", "_mx_pattern")
-    h = _hash(mix.seed, F.col(id_col), F.col(size_col))
-    more = ((_bucket(h) < F.col("_mx_cut")) | F.array_contains("_mx_picked", h)) & (F.coalesce(F.col(size_col), F.lit(0)) > 0)
-    out = docs.withColumn("_mx_pattern", pattern_of(members)).join(F.broadcast(side), "_mx_pattern")
-    return out.withColumn(name, F.col("_mx_passes") + more.cast("long")).select(*docs.columns, name)
+    side = _frame(docs.sparkSession, mix.rows, "passes long, cut int, picked array<long>")
+    boxes = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), pattern_of(members).alias("pattern"), _hash(mix.seed, F.col(id_col), F.col(size_col)).alias("h"), F.coalesce(F.col(size_col), F.lit(0)).alias("size"))
+    more = ((_bucket(F.col("h")) < F.col("cut")) | F.array_contains("picked", F.col("h"))) & (F.col("size") > 0)
+    return boxes.join(F.broadcast(side), "pattern").select("doc.*", (F.col("passes") + more.cast("long")).alias(name))
 
 
 def source_facts(spark, mix: Mix) -> DataFrame:

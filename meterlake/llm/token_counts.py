@@ -105,6 +105,7 @@ def count_tokens(blocks: DataFrame, separator: int = END_OF_DOCUMENT) -> DataFra
 
 def count_documents(blocks_path: str, spark) -> DataFrame:
     """id and n_tokens of each document of files that ``write_blocks`` wrote."""
-    counts = count_tokens(spark.read.parquet(f"{blocks_path}/kind=block"))
-    order = spark.read.parquet(f"{blocks_path}/kind=order").select("file", F.col("n").alias("ordinal"), "id")
+    files = spark.read.schema("file int, n long, id long, tokens binary, kind string").parquet(blocks_path)
+    counts = count_tokens(files.filter("kind = 'block'"))
+    order = files.filter("kind = 'order'").select("file", F.col("n").alias("ordinal"), "id")
     return order.join(counts, ["file", "ordinal"]).select("id", "n_tokens")
