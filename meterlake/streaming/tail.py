@@ -16,7 +16,7 @@ import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 SCHEMA = "path string, rel string, generation long, start long, line string, provisional boolean"
 MAX_BATCH_BYTES = 32 << 20
@@ -112,7 +112,7 @@ class _File(InputPartition):
         self.path, self.rel = path, rel
 
 
-class _Batch:
+class _Batch(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.suffix = options["path"], options.get("suffix", ".jsonl")
 
