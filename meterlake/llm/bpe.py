@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from meterlake.llm.common import tidy
+
 #: White space as Unicode's White_Space property has it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -31,7 +33,7 @@ _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHI
 _NONE = 1 << 62
 _PLACE = (1 << 40) - 1
 #: Chunks kept at once; beyond, the table starts anew.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
 #: Texts are handled in parts of about so many characters.
 PART_CHARS = 1 << 19
 
@@ -293,7 +295,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         bpe.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,7 +310,7 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         bpe.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -322,4 +324,4 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return encoded.select(id_col, ids_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, text string")

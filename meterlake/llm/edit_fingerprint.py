@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from meterlake.llm.common import codes, cut, mix64, runs
+from meterlake.llm.common import codes, cut, mix64, runs, tidy
 
 Q = 8
 SAMPLES = 128
@@ -162,7 +162,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if len(waiting) > 1:
             yield from _compare(waiting, id_col, arrow_id)
 
-    return dealt.select("part", "extra", "id", "text").mapInArrow(run, f"`{id_col}` {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.select("part", "extra", "id", "text").mapInArrow(tidy(run), f"`{id_col}` {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _compare(rows: list[tuple], id_col: str, arrow_id: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             prints = [x.tobytes().hex() for x in fingerprints(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(prints, pa.string())], names=[id_col, "n_chars", "fingerprint"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_chars long, fingerprint string")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_chars long, fingerprint string")
 
 
 def near_representatives(prints: DataFrame, id_col: str = "doc_id", least: float = 0.8) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterlake.llm.common import codes, held_out, mix64, runs, segment_sums, uniform
+from meterlake.llm.common import codes, held_out, mix64, runs, segment_sums, tidy, uniform
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 15
@@ -26,7 +26,7 @@ MAX_LANGUAGES = 256
 SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Texts are scored in groups of about so many characters.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 300_000
 
 
 @dataclass
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["cell", "n"])
 
-    cells = sample.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # buckets x languages at most
+    cells = sample.mapInArrow(tidy(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # buckets x languages at most
     counts = np.full(n << BUCKET_BITS, SMOOTHING)
     counts[cells["cell"].to_numpy()] += cells["n"].to_numpy()
     counts = counts.reshape(n, -1)
@@ -140,7 +140,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[*named, "lang_pred", "score"])
 
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in named]).add("lang_pred", "string").add("score", "double")
-    return docs.select(*named, F.col(text_col).alias("_li_text")).mapInArrow(run, schema)
+    return docs.select(*named, F.col(text_col).alias("_li_text")).mapInArrow(tidy(run), schema)
 
 
 def fit_unheld(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType, StringType
 
-from meterlake.llm.common import LOWER, NULL_ID, SPACES, UPPER, boxed, cut, unboxed
+from meterlake.llm.common import LOWER, NULL_ID, SPACES, UPPER, boxed, cut, tidy, unboxed
 
 MIN_CODE_POINTS = 10
 #: Bitmaps of up to so many bytes together are broadcast; beyond, the join shuffles.
@@ -132,10 +132,10 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     rows = keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
-    lines = cut(rows.select("_ld_doc", "_ld_row", "text").mapInArrow(_hashed_lines(min_code_points), "hi long, lo long, doc long, row long, n int, at array<int>"))
+    lines = cut(rows.select("_ld_doc", "_ld_row", "text").mapInArrow(tidy(_hashed_lines(min_code_points)), "hi long, lo long, doc long, row long, n int, at array<int>"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = lines.repartitionByRange(n, "hi", "lo", "doc", "row", "at").sortWithinPartitions("hi", "lo", "doc", "row", "at")
-    found = cut(ranged.mapInArrow(_first_documents, "kind int, hi long, lo long, doc long, row long, n int, at array<int>"))
+    found = cut(ranged.mapInArrow(tidy(_first_documents), "kind int, hi long, lo long, doc long, row long, n int, at array<int>"))
     firsts = found.filter(F.col("kind") == SUMMARY).groupBy("hi", "lo").agg(F.min("doc").alias("first"))  # two rows a partition at most
     opened = found.filter(F.col("kind") == OPEN).join(F.broadcast(firsts), ["hi", "lo"]).filter("doc > first")
     lost = found.filter(F.col("kind") == DROPPED).select("doc", "row", "n", "at").union(opened.select("doc", "row", "n", "at"))
@@ -176,7 +176,7 @@ def digest_kept(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", tex
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = with_bitmaps(docs.select(id_col, text_col), bitmaps, id_col, text_col).select(id_col, text_col, "_ld_bitmap")
-    return rows.mapInArrow(digest, f"`{id_col}` {kind}, n_lines long, n_dropped long, kept_sha256 string")
+    return rows.mapInArrow(tidy(digest), f"`{id_col}` {kind}, n_lines long, n_dropped long, kept_sha256 string")
 
 
 @pandas_udf(StringType())

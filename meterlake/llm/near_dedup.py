@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import LOWER, UPPER, cut, mix64, runs
+from meterlake.llm.common import LOWER, UPPER, cut, mix64, runs, tidy
 from meterlake.llm.components import components
 
 BANDS, ROWS = 24, 4
@@ -43,10 +43,10 @@ PERCENT = 80
 #: A bucket is cut into blocks of about so many classes, a cluster into blocks of so many shingles.
 BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 1 << 20
 BROADCAST_ROWS = 500_000
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _WORDS: dict[bytes, int] = {}
-_MAX_WORDS = 400_000
+_MAX_WORDS = 150_000
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
@@ -170,7 +170,7 @@ def sketch(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
         _WORDS.clear()
 
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    return named.mapInArrow(run, "id long, row long, n long, fp binary, regs binary")
+    return named.mapInArrow(tidy(run), "id long, row long, n long, fp binary, regs binary")
 
 
 def _streamed(key_columns: int, handle: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
@@ -272,7 +272,7 @@ def loose_clusters(classes: DataFrame) -> DataFrame:
     shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     rows = bands.join(shared, "bucket").join(classes, "fp").withColumn("blocks", F.ceil(F.col("size") / BUCKET_BLOCK))
     dealt = _dealt(_blocked(rows, "bucket", "blocks"), "bucket").select("bucket", "bi", "bj", "fp", "n", "regs")
-    return components(dealt.mapInArrow(_streamed(3, _bucket_links), "u binary, v binary"))
+    return components(dealt.mapInArrow(tidy(_streamed(3, _bucket_links)), "u binary, v binary"))
 
 
 def exact_components(docs: DataFrame, reps: DataFrame, k: int, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -291,10 +291,10 @@ def exact_components(docs: DataFrame, reps: DataFrame, k: int, id_col: str, text
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     found = rows.join(wanted, rows.id.eqNullSafe(wanted.id) & (rows.row == wanted.row)).select(F.xxhash64("cluster").alias("cluster"), "fp", "text")
-    sets = cut(found.mapInArrow(run, "cluster long, fp binary, n long, set binary"))
+    sets = cut(found.mapInArrow(tidy(run), "cluster long, fp binary, n long, set binary"))
     sizes = sets.groupBy("cluster").agg(F.ceil(F.sum("n") / CLUSTER_BLOCK).alias("blocks"), F.count("*").alias("members")).filter("members > 1")
     dealt = _dealt(_blocked(sets.join(sizes, "cluster"), "cluster", "blocks"), "cluster").select("cluster", "bi", "bj", "fp", "set")
-    return components(dealt.mapInArrow(_streamed(3, _exact_links(percent)), "u binary, v binary"))
+    return components(dealt.mapInArrow(tidy(_streamed(3, _exact_links(percent))), "u binary, v binary"))
 
 
 def group_rows(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterlake.llm.common import tidy
 from meterlake.llm.bpe import encoder, pack_tokenizer
 
 BLOCK_TOKENS = 1 << 16
@@ -62,7 +63,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
         if size:
             yield _rows("block", file, [block], [None], [np.concatenate(held).tobytes()])
 
-    docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(write, "kind string, file int, n long, id long, tokens binary").write.partitionBy("kind").parquet(path)
+    docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(tidy(write), "kind string, file int, n long, id long, tokens binary").write.partitionBy("kind").parquet(path)
 
 
 def _rows(kind: str, file: int, n: list, ids: list, tokens: list) -> pa.RecordBatch:
@@ -91,7 +92,7 @@ def count_tokens(blocks: DataFrame, separator: int = END_OF_DOCUMENT) -> DataFra
             head, tail, ends, inner = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(head, pa.int64()), pa.array(tail, pa.int64()), pa.array(ends, pa.int64()), pa.array(inner, pa.list_(pa.int32()))], names=["file", "n", "head", "tail", "ends", "inner"])
 
-    parts = blocks.select("file", "n", "tokens").mapInArrow(scan, "file int, n long, head long, tail long, ends long, inner array<int>")
+    parts = blocks.select("file", "n", "tokens").mapInArrow(tidy(scan), "file int, n long, head long, tail long, ends long, inner array<int>")
     order = Window.partitionBy("file").orderBy("n")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     # tokens so far without regard to separators, and the sum at the last separator: their difference is carried over

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from meterlake.llm.common import LOWER_TABLE, codes, runs
+from meterlake.llm.common import LOWER_TABLE, codes, runs, tidy
 
 #: (action, host and path); the longest that fits wins.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -164,4 +164,4 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, text), pa.array(paths, text), pa.array(rule, text), pa.array(verdict, text)], names=[id_col, "host", "path", "rule", "verdict"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, url_col).mapInArrow(judge, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
+    return pages.select(id_col, url_col).mapInArrow(tidy(judge), f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
