@@ -15,6 +15,7 @@ import hashlib
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,8 +69,8 @@ class BytePairEncoder:
         self.merged[self.pair_ranks] = [self.pair[k][1] for k in keys]
         self.byte_table = np.array(self.byte_ids, np.int64)
         self.names = [str(i) for i in range(max(self.bytes) + 1)]
-        self.kept: dict[str, tuple[str, bytes]] = {}
-        self.pieces: dict[str, tuple[str, bytes]] = {}
+        self.kept: dict[str, tuple[str, bytes, bytes]] = {}
+        self.pieces: dict[str, tuple[str, bytes, bytes]] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
         """The ids after all merges of one pre-token."""
@@ -177,8 +178,8 @@ class BytePairEncoder:
             rows = rows[tree[rows, 1] != _NONE]
         return [row[keep].tolist() for row, keep in zip(ids, alive, strict=True)]
 
-    def entries(self, chunks: list[str]) -> list[tuple[str, bytes]]:
-        """For each chunk: its decimal ids joined, its decoded bytes."""
+    def entries(self, chunks: list[str]) -> list[tuple[str, bytes, bytes]]:
+        """For each chunk: its decimal ids joined, its decoded bytes, its ids as C integers."""
         new = {c for c in chunks if c not in self.kept}
         if new:
             if len(self.kept) + len(new) > CACHE_CHUNKS:
@@ -188,14 +189,14 @@ class BytePairEncoder:
             fresh = list({p for ps in cut.values() for p in ps if p not in self.pieces})
             names, table = self.names, self.bytes
             for p, ids in zip(fresh, self.merge_many([p.encode("utf-8", "surrogatepass") for p in fresh]), strict=True):
-                self.pieces[p] = (",".join([names[i] for i in ids]), b"".join([table[i] for i in ids]))
+                self.pieces[p] = (",".join([names[i] for i in ids]), b"".join([table[i] for i in ids]), array("I", ids).tobytes())
             pieces = self.pieces
             for c, ps in cut.items():
                 if len(ps) == 1:
                     self.kept[c] = pieces[c]
                 else:
                     own = [pieces[p] for p in ps]
-                    self.kept[c] = (",".join([e[0] for e in own]), b"".join([e[1] for e in own]))
+                    self.kept[c] = (",".join([e[0] for e in own]), b"".join([e[1] for e in own]), b"".join([e[2] for e in own]))
         out = [self.kept[c] for c in chunks]
         for long in [c for c in new if len(c) > 64]:
             del self.kept[long]
@@ -206,7 +207,7 @@ class BytePairEncoder:
         self.kept.clear()
         self.pieces.clear()
 
-    def parts(self, texts: list[str]) -> Iterator[tuple[int, list[tuple[str, bytes]]]]:
+    def parts(self, texts: list[str]) -> Iterator[tuple[int, list[tuple[str, bytes, bytes]]]]:
         """(Number of the text, entries of its next part), in order; short texts are looked up together."""
         waiting: list[tuple[int, list[str]]] = []
         size = 0
@@ -224,7 +225,7 @@ class BytePairEncoder:
                 if odd % 2:
                     yield from flush()
                     i = self.special[run]
-                    yield k, [(str(i), self.bytes[i])]
+                    yield k, [(str(i), self.bytes[i], array("I", [i]).tobytes())]
                     continue
                 start = 0
                 while start < len(run):
@@ -240,10 +241,10 @@ class BytePairEncoder:
         yield from flush()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        ids: list[list[str]] = [[] for _ in texts]
+        ids: list[list[bytes]] = [[] for _ in texts]
         for k, part in self.parts(texts):
-            ids[k] += [e[0] for e in part]
-        return [np.fromstring(",".join(x), np.int64, sep=",") if x else np.zeros(0, np.int64) for x in ids]
+            ids[k] += [e[2] for e in part]
+        return [np.frombuffer(b"".join(x), np.uintc).astype(np.int64) for x in ids]
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text: number of ids, sha256 of the decimal ids joined by commas, sha256 of the decoded text."""
