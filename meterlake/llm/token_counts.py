@@ -20,10 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import tidy
+from meterlake.llm.common import runs, tidy
 from meterlake.llm.bpe import encoder, pack_tokenizer
 
 BLOCK_TOKENS = 1 << 16
+#: Texts are encoded in groups of about so many characters.
+GROUP_CHARS = 1 << 20
 #: The separator; texts are encoded without it, as the vocabulary's added token stands for it alone.
 END_OF_DOCUMENT = 50256
 
@@ -45,8 +47,8 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield _rows("order", file, [ordinal + i for i in range(len(ids))], ids, [None] * len(ids))
             ordinal += len(ids)
-            for start in range(0, len(texts), 64):
-                for tokens in bpe.encode(texts[start : start + 64]):
+            for lo, hi in runs(np.array([len(t) for t in texts], np.int64), GROUP_CHARS):
+                for tokens in bpe.encode(texts[lo:hi]):
                     if len(tokens) and tokens.max() > 0xFFFF:
                         raise ValueError("a token id needs over 16 bits")
                     tokens = tokens[tokens != separator].astype("<u2")
