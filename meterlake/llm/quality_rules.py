@@ -26,8 +26,8 @@ STEPS = 2
 MIN_GROUP = 50
 #: Squared distances are divided by the group's median one over this, the median of chi-squared with 4 degrees.
 CHI2_MEDIAN = 3.3567
-#: A document is rejected beyond this scaled squared distance (chi-squared's tail there is below 1e-12; tails here are heavier).
-MAX_DISTANCE = 60.0
+#: A document is rejected beyond this scaled squared distance, the 0.999 quantile of chi-squared with 4 degrees.
+MAX_DISTANCE = 18.467
 MAX_GROUPS = 20_000
 ACCURACY = 2000
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -54,6 +54,18 @@ def test_outliers_are_far_and_few(spark):
     assert all(got[i] for i in got if i < 1000)
 
 
+def test_the_cut_is_a_quantile_of_chi_squared(spark):
+    from math import exp
+
+    assert abs(exp(-quality_rules.MAX_DISTANCE / 2) * (1 + quality_rules.MAX_DISTANCE / 2) - 0.001) < 1e-6
+    plain = [(i, " ".join(f"word{(i * 7 + j * j) % 999}" for j in range(60 + i % 9)), "en", "web") for i in range(300)]
+    fragments = [(1000 + i, " | ".join(f"word{(i * 7 + j * j) % 999} word{(i + j * j) % 997}" for j in range(30)), "en", "web") for i in range(10)]
+    repeats = [(2000 + i, " ".join([*(f"word{(i * 7 + j * j) % 999}" for j in range(60)), *["one two three four five"] * 2]), "en", "web") for i in range(10)]
+    got = {r.doc_id: r for r in quality_rules.judge(table(spark, plain + fragments + repeats)).collect()}
+    assert all(got[i].kept for i in range(300))
+    assert not any(got[i].base_failed or got[i].kept for i in got if i >= 1000)
+
+
 def test_who_is_held_out(spark):
     import zlib
 
