@@ -127,6 +127,30 @@ def test_near_texts_are_found(spark):
     assert found <= wanted and len(found) >= 25  # now and then two walks meet late
 
 
+def test_a_bucket_led_by_another_text_loses_no_pair(spark):
+    rng = random.Random(4)
+    page = bytes(rng.randrange(256) for _ in range(prints.SAMPLES))
+    old = page[:12] + bytes(x ^ 2 for x in page[12:])  # has all the bands that the other two share, and nothing else
+    near = page[:12] + bytes(x ^ (i % 2) for i, x in enumerate(page[12:]))
+    rows = [(1, 9, old.hex()), (2, 9, page.hex()), (3, 9, near.hex())]
+    found = {(r.id, r.representative) for r in prints.near_representatives(spark.createDataFrame(rows, "doc_id bigint, n_chars bigint, fingerprint string"), least=0.4).collect()}
+    assert found == {(3, 2)}
+
+
+def test_groups_of_edited_texts(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(7))
+    rows, base = [], " ".join(word() for _ in range(100))
+    for g in range(20):  # pages of one template: 800 characters in common, 800 of their own
+        text = base + " ".join(word() for _ in range(100))
+        rows += [(10 * g + 5, text), (10 * g + 6, text), (10 * g + 7, text[:900] + "Z" + text[901:]), (10 * g + 8, text[:1200] + text[1210:])]
+    rows += [(900, ""), (901, None), (902, "short"), (903, "short"), (None, rows[0][1])]
+    got = {r.doc_id: r.group_id for r in prints.fingerprint_edits(spark.createDataFrame(rows, "doc_id bigint, text string"), parts=3).collect()}
+    assert [got[i] for i in (900, 901, 902, 903, None)] == [900, 901, 902, 902, 5]
+    assert all(got[10 * g + k] in (10 * g + 5, 10 * g + k) for g in range(20) for k in (5, 6, 7, 8)) and all(got[10 * g + 6] == 10 * g + 5 for g in range(20))
+    assert sum(got[10 * g + k] == 10 * g + 5 for g in range(20) for k in (7, 8)) >= 34  # now and then two walks meet late
+
+
 def brute_glob(glob, text):
     import re
 
