@@ -6,6 +6,9 @@ appends lines to it. Late lines count on their own day: no watermark drops them.
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,11 +19,32 @@ from meterlake.streaming.tail import tail
 def append_lines(lines: DataFrame, table: str, checkpoint: str, seconds: int | None = None) -> StreamingQuery:
     """Append a stream of lines to a Parquet folder; once through what is there now, or every ``seconds``.
 
-    The file sink commits each batch once, also after a restart.
+    The file sink commits each batch once, also after a restart. Without ``seconds`` the call returns when the
+    files' sizes at its first batch are reached: Spark ends a Python source's available-now run after one batch
+    of bounded bytes, so runs follow each other until then. The query returned is the last run, ended.
     """
     writer = lines.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)
-    return writer.start()
+    if seconds:
+        return writer.trigger(processingTime=f"{seconds} seconds").start()
+    goal = None
+    while True:
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        moved, reached = _reached(query)
+        if goal is None:
+            goal = {path: os.path.getsize(path) for path in reached if os.path.exists(path)}
+        if not moved or all(reached.get(path, 0) >= size for path, size in goal.items()):
+            return query
+
+
+def _reached(query: StreamingQuery) -> tuple[bool, dict[str, int]]:
+    """Whether an ended run read anything, and how far each file is read; empty for another source than ``tail``."""
+    for progress in reversed(query.recentProgress):
+        source = json.loads(progress.json)["sources"][0]
+        end = source["endOffset"]
+        if source["startOffset"] != source["endOffset"] and isinstance(end, dict) and "files" in end:
+            return True, {path: at for path, (_, at, _) in json.loads(end["files"]).items()}
+    return False, {}
 
 
 def follow(spark: SparkSession, logs: str, table: str, checkpoint: str, seconds: int | None = None) -> StreamingQuery:

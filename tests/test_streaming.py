@@ -71,6 +71,18 @@ def test_a_failed_batch_reads_the_same_again(tmp_path):
     assert [json.loads(r[4])["i"] for r in rows] == [1, 2]
 
 
+def test_one_call_reads_more_than_a_batch(spark, tmp_path):
+    for name in ("a", "b", "c"):
+        write(str(tmp_path / f"logs/{name}.jsonl"), *(line(i, "x" * 50) for i in range(3)))
+    write(str(tmp_path / "logs/c.jsonl"), line(9), end="")  # waits for its newline, and isn't waited for
+    spark.dataSource.register(tail.LogTail)
+    lines = spark.readStream.format("log_tail").option("path", str(tmp_path / "logs")).option("maxBytesPerBatch", "200").load()
+    query = follow.append_lines(lines, str(tmp_path / "table"), str(tmp_path / "checkpoint"))
+    query.awaitTermination(120)
+    rows = follow.current_lines(spark, str(tmp_path / "table")).collect()
+    assert sorted((r.rel, json.loads(r.line)["i"]) for r in rows) == [(f"{name}.jsonl", i) for name in "abc" for i in range(3)]
+
+
 def test_provisional_lines_and_files(spark, tmp_path):
     write(str(tmp_path / "a.jsonl"), line(1), line(2), end="")
     rows = tail.lines_now(spark, str(tmp_path))
