@@ -18,8 +18,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def keep(df: DataFrame, path: str | None = None) -> DataFrame:
-    """``df`` written as Parquet (to ``path``, or to the shared folder until the session ends) and read again."""
+    """``df`` written as Parquet (to ``path``, or to the shared folder until the session ends) and read again: lineage ends there.
+
+    Unlike ``checkpoint()``, this computes the rows once.
+    """
     spark = df.sparkSession
     place = path or f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(place)
