@@ -5,14 +5,15 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterlake.sources.bronze import keep as cut, remove, shared_dir  # noqa: F401
+
 #: What stands for a null id where rows are ordered or joined by id: it sorts after every other id.
 NULL_ID = (1 << 63) - 1
 #: ASCII white space, as the contracts' word pattern ``[^\x20\x09-\x0D]+`` has it; Java's ``\s`` is the same class.
@@ -21,33 +22,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_TABLE = str.maketrans(UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one in local mode only."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            named = "/tmp/checkpoints"
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: lineage ends there.
-
-    Unlike ``checkpoint()``, it computes the rows once. The files go when the session ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(hadoop).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def tidy(handle: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A mapInArrow function that returns freed memory to the system at its end: idle workers share their executor's memory."""
 
