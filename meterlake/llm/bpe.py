@@ -12,10 +12,10 @@ cross, so results are kept by chunk in a bounded table during a task. Nothing is
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +37,8 @@ _PLACE = (1 << 40) - 1
 CACHE_CHUNKS = 200_000
 #: Texts are handled in parts of about so many characters.
 PART_CHARS = 1 << 19
+#: Trees side by side have so many leaves together.
+TREE_CELLS = 1 << 15
 
 
 def _byte_chars() -> list[str]:
@@ -46,6 +48,21 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
 
 
+class _Spellings:
+    """Byte strings by id, joined for many ids at once."""
+
+    def __init__(self, spelled: list[bytes]):
+        self.lengths = np.array([len(x) for x in spelled], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
+        self.flat = np.frombuffer(b"".join(spelled), np.uint8)
+
+    def join(self, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The ids' byte strings one after the other, and where each begins (and the end)."""
+        lengths = self.lengths[ids]
+        at = np.concatenate([[0], np.cumsum(lengths)])
+        return memoryview(self.flat[np.arange(at[-1]) + np.repeat(self.starts[ids] - at[:-1], lengths)]), at
+
+
 class BytePairEncoder:
     """Encodes and decodes with a tokenizer file's vocabulary, merges and added tokens."""
 
@@ -68,9 +85,12 @@ class BytePairEncoder:
         self.merged = np.zeros(len(spec["merges"]), np.int64)
         self.merged[self.pair_ranks] = [self.pair[k][1] for k in keys]
         self.byte_table = np.array(self.byte_ids, np.int64)
-        self.names = [str(i) for i in range(max(self.bytes) + 1)]
-        self.kept: dict[str, tuple[str, bytes, bytes]] = {}
-        self.pieces: dict[str, tuple[str, bytes, bytes]] = {}
+        size = max(self.bytes) + 1
+        #: Ids are kept in 16 bits where they fit.
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.decimals = _Spellings([b"%d," % i for i in range(size)])
+        self.spellings = _Spellings([self.bytes.get(i, b"") for i in range(size)])
+        self.kept: dict[str, bytes] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
         """The ids after all merges of one pre-token."""
@@ -117,35 +137,36 @@ class BytePairEncoder:
         return [x for x, keep in zip(ids, alive, strict=True) if keep]
 
     def _ranked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Ranks of pairs of ids, shifted to leave room for a place; _NONE for those that don't merge."""
-        keys = a.astype(np.int64) << 24 | b
+        """Ranks of pairs of ids, shifted to leave room for a place; _NONE for those that don't merge (or of a negative id)."""
+        keys = a << 24 | b
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        hit = (self.pair_keys[at] == keys) & (a >= 0) & (b >= 0)
-        return np.where(hit, self.pair_ranks[at] << 40, _NONE)
+        hit = (self.pair_keys.take(at) == keys) & (a >= 0) & (b >= 0)
+        return np.where(hit, self.pair_ranks.take(at) << 40, _NONE)
 
-    def merge_many(self, pieces: list[bytes]) -> list[list[int]]:
-        """``merge`` of many pre-tokens: those of one tree size take each step together."""
-        out: list[list[int]] = [[]] * len(pieces)
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """``merge`` of many pre-tokens, ids as bytes of ``kind``: those of one tree size take each step together."""
+        out: list[bytes] = [b""] * len(pieces)
         by_size: dict[int, list[int]] = {}
         for k, piece in enumerate(pieces):
             if len(piece) > 65:
-                out[k] = self.merge([self.byte_ids[b] for b in piece])
-            elif len(piece) > 1:
-                by_size.setdefault(1 << (len(piece) - 2).bit_length(), []).append(k)
+                out[k] = np.array(self.merge([self.byte_ids[b] for b in piece]), self.kind).tobytes()
             else:
-                out[k] = [self.byte_ids[b] for b in piece]
+                by_size.setdefault(1 << (len(piece) - 2).bit_length() if len(piece) > 1 else 1, []).append(k)
         for size, own in by_size.items():
-            for start in range(0, len(own), 4096):
-                part = own[start : start + 4096]
+            step = max(TREE_CELLS // size, 1)
+            for start in range(0, len(own), step):
+                part = own[start : start + step]
                 for k, ids in zip(part, self._merge_trees([pieces[k] for k in part], size), strict=True):
                     out[k] = ids
         return out
 
-    def _merge_trees(self, pieces: list[bytes], size: int) -> list[list[int]]:
+    def _merge_trees(self, pieces: list[bytes], size: int) -> list[bytes]:
+        """Trees of ``size`` leaves side by side; every array is flat, ``wide`` and ``deep`` are where a row's items and nodes begin."""
         n, width = len(pieces), size + 2
+        lengths = np.fromiter(map(len, pieces), np.int64, n)
+        alive = np.arange(width) < lengths[:, None]
         ids = np.full((n, width), -1, np.int64)
-        for row, piece in enumerate(pieces):
-            ids[row, : len(piece)] = self.byte_table[np.frombuffer(piece, np.uint8)]
+        ids[alive] = self.byte_table[np.frombuffer(b"".join(pieces), np.uint8)]
         tree = np.full((n, 2 * size), _NONE, np.int64)
         leaves = self._ranked(ids[:, :size], ids[:, 1 : size + 1])
         tree[:, size:] = np.where(leaves == _NONE, _NONE, leaves | np.arange(size))
@@ -153,115 +174,134 @@ class BytePairEncoder:
         while level > 1:
             level >>= 1
             tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
-        after = np.tile(np.arange(1, width + 1), (n, 1))
-        before = np.tile(np.arange(-1, width), (n, 1))
-        alive = ids >= 0
-        rows = np.flatnonzero(tree[:, 1] != _NONE)
+        after = np.tile(np.arange(1, width + 1), n)
+        before = np.tile(np.arange(-1, width - 1), n)
+        ids, tree, alive = ids.ravel(), tree.ravel(), alive.ravel()
+        rows = np.flatnonzero(tree[1 :: 2 * size] != _NONE)
         while len(rows):
-            root = tree[rows, 1]
+            wide, deep, m = rows * width, rows * (2 * size), len(rows)
+            root = tree.take(deep + 1)
             i = root & _PLACE
-            j = after[rows, i]
-            k = after[rows, j]
-            ids[rows, i], alive[rows, j] = self.merged[root >> 40], False
-            after[rows, i], before[rows, k] = k, i
-            p = before[rows, i]
+            a = wide + i
+            j = after.take(a)
+            k = after.take(wide + j)
+            p = before.take(a)
             left = np.maximum(p, 0)
-            here, there = self._ranked(ids[rows, i], ids[rows, k]), self._ranked(ids[rows, left], ids[rows, i])
-            tree[rows, np.where(j < size, size + j, 0)] = _NONE
-            tree[rows, size + i] = np.where(here == _NONE, _NONE, here | i)
-            tree[rows, np.where(p >= 0, size + left, 0)] = np.where(there == _NONE, _NONE, there | left)
-            nodes = [size + np.minimum(j, size - 1), size + i, size + left]
-            while nodes[0][0] > 1:
-                nodes = [x >> 1 for x in nodes]
-                for x in nodes:
-                    tree[rows, x] = np.minimum(tree[rows, 2 * x], tree[rows, 2 * x + 1])
-            rows = rows[tree[rows, 1] != _NONE]
-        return [row[keep].tolist() for row, keep in zip(ids, alive, strict=True)]
-
-    def entries(self, chunks: list[str]) -> list[tuple[str, bytes, bytes]]:
-        """For each chunk: its decimal ids joined, its decoded bytes, its ids as C integers."""
-        new = {c for c in chunks if c not in self.kept}
+            new = self.merged.take(root >> 40)
+            ids[a], alive[wide + j], after[a], before[wide + k] = new, False, k, i
+            found = self._ranked(np.concatenate([new, np.where(p >= 0, ids.take(wide + left), -1)]), np.concatenate([ids.take(wide + k), new]))
+            found[:m] |= np.where(found[:m] == _NONE, 0, i)
+            found[m:] |= np.where(found[m:] == _NONE, 0, left)
+            tree[np.where(j < size, deep + size + j, deep)] = _NONE
+            tree[deep + size + i] = found[:m]
+            tree[np.where(p >= 0, deep + size + left, deep)] = found[m:]
+            nodes = np.concatenate([size + np.minimum(j, size - 1), size + i, size + left])
+            base = np.concatenate([deep, deep, deep])
+            level = size
+            while level > 1:
+                level >>= 1
+                nodes >>= 1
+                two = base + 2 * nodes
+                tree[base + nodes] = np.minimum(tree.take(two), tree.take(two + 1))
+            rows = rows[tree.take(deep + 1) != _NONE]
+        flat, ends = ids[alive].astype(self.kind).tobytes(), np.cumsum(alive.reshape(n, width).sum(axis=1)) * self.kind.itemsize
+        return [flat[lo:hi] for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def lookup(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk, as bytes of ``kind``."""
+        kept = self.kept
+        new = {c for c in chunks if c not in kept}
         if new:
-            if len(self.kept) + len(new) > CACHE_CHUNKS:
+            if len(kept) + len(new) > CACHE_CHUNKS:
                 self.forget()
                 new = set(chunks)
-            cut = {c: _PIECE.findall(c) for c in new}
-            fresh = list({p for ps in cut.values() for p in ps if p not in self.pieces})
-            names, table = self.names, self.bytes
+            cut = {c: _PIECE.findall(c) for c in new if not (c.isascii() and (c[1:].isalpha() and c[0] == " " or c.isalpha()))}
+            fresh = list({p for ps in cut.values() for p in ps if p not in kept} | (new - cut.keys()))
             for p, ids in zip(fresh, self.merge_many([p.encode("utf-8", "surrogatepass") for p in fresh]), strict=True):
-                self.pieces[p] = (",".join([names[i] for i in ids]), b"".join([table[i] for i in ids]), array("I", ids).tobytes())
-            pieces = self.pieces
+                kept[p] = ids
             for c, ps in cut.items():
-                if len(ps) == 1:
-                    self.kept[c] = pieces[c]
-                else:
-                    own = [pieces[p] for p in ps]
-                    self.kept[c] = (",".join([e[0] for e in own]), b"".join([e[1] for e in own]), b"".join([e[2] for e in own]))
-        out = [self.kept[c] for c in chunks]
-        for long in [c for c in new if len(c) > 64]:
-            del self.kept[long]
-        return out
+                if len(ps) > 1:
+                    kept[c] = b"".join([kept[p] for p in ps])
+            out = [kept[c] for c in chunks]
+            for long in [c for c in (*new, *fresh) if len(c) > 64]:
+                kept.pop(long, None)
+            return out
+        return [kept[c] for c in chunks]
 
     def forget(self) -> None:
         """Drop what is kept; tasks do so at their end, as a worker outlives them."""
         self.kept.clear()
-        self.pieces.clear()
 
-    def parts(self, texts: list[str]) -> Iterator[tuple[int, list[tuple[str, bytes, bytes]]]]:
-        """(Number of the text, entries of its next part), in order; short texts are looked up together."""
-        waiting: list[tuple[int, list[str]]] = []
+    def parts(self, texts: list[str], added: bool = True) -> Iterator[tuple[list[int], np.ndarray, list[int]]]:
+        """Parts of the texts in order: numbers of texts, the parts' ids, where each part's begin and the end.
+
+        With ``added``, added tokens inside a text become their own ids, else they are bytes like any others.
+        """
+        numbers: list[int] = []
+        waiting: list[list[str] | bytes] = []
         size = 0
 
-        def flush() -> Iterator[tuple[int, list]]:
-            found = self.entries([c for _, chunks in waiting for c in chunks])
-            at = 0
-            for k, chunks in waiting:
-                yield k, found[at : at + len(chunks)]
-                at += len(chunks)
-            waiting.clear()
+        def flush() -> tuple[list[int], np.ndarray, list[int]]:
+            found = iter(self.lookup([c for w in waiting if not isinstance(w, bytes) for c in w]))
+            joined = [w if isinstance(w, bytes) else b"".join(itertools.islice(found, len(w))) for w in waiting]
+            ends = [0, *itertools.accumulate(len(x) // self.kind.itemsize for x in joined)]
+            return numbers[:], np.frombuffer(b"".join(joined), self.kind), ends
 
         for k, text in enumerate(texts):
-            for odd, run in enumerate(self.split.split(text) if self.split else [text]):
+            for odd, run in enumerate(self.split.split(text) if self.split and added else [text]):
                 if odd % 2:
-                    yield from flush()
-                    i = self.special[run]
-                    yield k, [(str(i), self.bytes[i], array("I", [i]).tobytes())]
+                    numbers.append(k)
+                    waiting.append(np.array([self.special[run]], self.kind).tobytes())
                     continue
                 start = 0
                 while start < len(run):
                     end = len(run)
                     if end - start > PART_CHARS and (m := _SAFE_CUT.search(run, start + PART_CHARS)):
                         end = m.start()
-                    waiting.append((k, _CHUNK.findall(run[start:end])))
+                    numbers.append(k)
+                    waiting.append(_CHUNK.findall(run[start:end]))
                     size += end - start
                     start = end
                     if size >= PART_CHARS:
-                        yield from flush()
+                        yield flush()
+                        numbers.clear()
+                        waiting.clear()
                         size = 0
-        yield from flush()
+        yield flush()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        ids: list[list[bytes]] = [[] for _ in texts]
-        for k, part in self.parts(texts):
-            ids[k] += [e[2] for e in part]
-        return [np.frombuffer(b"".join(x), np.uintc).astype(np.int64) for x in ids]
+    def encode(self, texts: list[str], added: bool = True) -> list[np.ndarray]:
+        ids: list[list[np.ndarray]] = [[] for _ in texts]
+        for numbers, flat, ends in self.parts(texts, added):
+            for k, lo, hi in zip(numbers, ends[:-1], ends[1:], strict=True):
+                ids[k].append(flat[lo:hi])
+        return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, self.kind), *x]) for x in ids]
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text: number of ids, sha256 of the decimal ids joined by commas, sha256 of the decoded text."""
         state = [[0, hashlib.sha256(), hashlib.sha256()] for _ in texts]
-        for k, part in self.parts(texts):
-            joined, mine = ",".join([e[0] for e in part]), state[k]
-            if joined:
-                mine[1].update((("," if mine[0] else "") + joined).encode())
-                mine[0] += joined.count(",") + 1
-            mine[2].update(b"".join([e[1] for e in part]))
+        for numbers, flat, ends in self.parts(texts):
+            decimals, at = self.decimals.join(flat)
+            decoded, to = self.spellings.join(flat)
+            for k, lo, hi in zip(numbers, ends[:-1], ends[1:], strict=True):
+                if hi > lo:
+                    mine = state[k]
+                    if mine[0]:
+                        mine[1].update(b",")
+                    mine[0] += hi - lo
+                    mine[1].update(decimals[at[lo] : at[hi] - 1])
+                    mine[2].update(decoded[to[lo] : to[hi]])
         return [(n, ids.hexdigest(), text.hexdigest()) for n, ids, text in state]
 
 
 def pack_tokenizer(path: str) -> bytes:
-    """What tasks need of a tokenizer file; read on the driver, so executors needn't have the file."""
+    """What tasks need of a tokenizer file; read on the driver, so executors needn't have the file.
+
+    Added tokens that take in spaces or stand for whole words only are an error.
+    """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    if any(t.get(flag) for t in spec["added_tokens"] for flag in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens with lstrip, rstrip or single_word aren't supported")
     merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
     return zlib.compress(json.dumps({"vocab": spec["model"]["vocab"], "merges": merges, "added": {t["content"]: t["id"] for t in spec["added_tokens"]}}).encode(), 6)
 
@@ -300,7 +340,11 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
 
 def encode_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id and the array of token ids."""
+    """Per row: id and the array of token ids.
+
+    A null or empty text has none; null ids and repeated rows pass through, other columns aren't read, an
+    empty table gives no rows.
+    """
     packed = pack_tokenizer(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

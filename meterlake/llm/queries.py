@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm import bpe, edit_fingerprint, language_id, line_dedup, mixing, near_dedup, quality_rules, token_counts, toxicity, url_filter
-from meterlake.llm.common import cut, held_out, shared_dir
+from meterlake.llm.common import cut, held_out, remove, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,10 +49,12 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents are written as flat token files to the shared folder, then counted from these alone."""
+    """Documents are written as flat token files to the shared folder, then counted from these alone; the files go at once."""
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     token_counts.write_blocks(_table(spark, sf_dir, "documents"), tokenizer_path(), path)
-    return token_counts.count_documents(path, spark).select(F.col("id").alias("doc_id"), "n_tokens")
+    counts = cut(token_counts.count_documents(path, spark).select(F.col("id").alias("doc_id"), "n_tokens"))
+    remove(spark, path)
+    return counts
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

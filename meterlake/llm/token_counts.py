@@ -24,6 +24,7 @@ from meterlake.llm.common import runs, tidy
 from meterlake.llm.bpe import encoder, pack_tokenizer
 
 BLOCK_TOKENS = 1 << 16
+BLOCK_KIND = np.dtype("<u2")
 #: Texts are encoded in groups of about so many characters.
 GROUP_CHARS = 1 << 20
 #: The separator; texts are encoded without it, as the vocabulary's added token stands for it alone.
@@ -33,14 +34,19 @@ END_OF_DOCUMENT = 50256
 def write_blocks(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, separator: int = END_OF_DOCUMENT) -> None:
     """Encode ``docs`` into token files at ``path``: one file for each task, its blocks as rows of kind ``block``.
 
-    A separator string inside a text is dropped, so that each document gives exactly one separator. Rows of
-    kind ``order`` say which document is the n-th of a file; the scan doesn't read them. Ids over 65535
-    are an error.
+    A separator's name inside a text is written as ordinary bytes, so that each document gives exactly one
+    separator and keeps all its tokens. Rows of kind ``order`` say which document is the n-th of a file; the scan
+    doesn't read them. A null or empty text is a separator alone, null and repeated ids are documents of their
+    own, an empty table gives no blocks; other columns aren't read. A vocabulary that needs over 16 bits
+    is an error.
     """
     packed = pack_tokenizer(tokenizer_path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, file = encoder(packed), TaskContext.get().partitionId()
+        if bpe.kind != BLOCK_KIND:
+            raise ValueError("the vocabulary's ids need over 16 bits")
+        mark = np.array([separator], BLOCK_KIND)
         held, size, block, ordinal = [], 0, 0, 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -48,11 +54,8 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
             yield _rows("order", file, [ordinal + i for i in range(len(ids))], ids, [None] * len(ids))
             ordinal += len(ids)
             for lo, hi in runs(np.array([len(t) for t in texts], np.int64), GROUP_CHARS):
-                for tokens in bpe.encode(texts[lo:hi]):
-                    if len(tokens) and tokens.max() > 0xFFFF:
-                        raise ValueError("a token id needs over 16 bits")
-                    tokens = tokens[tokens != separator].astype("<u2")
-                    held += [tokens, np.array([separator], "<u2")]
+                for tokens in bpe.encode(texts[lo:hi], added=False):
+                    held += [tokens, mark]
                     size += len(tokens) + 1
                 if size >= block_tokens:
                     flat = np.concatenate(held)
@@ -74,7 +77,7 @@ def _rows(kind: str, file: int, n: list, ids: list, tokens: list) -> pa.RecordBa
 
 def scan_block(tokens: bytes, separator: int) -> tuple[int, int, int, list[int]]:
     """Tokens before the first separator (all, without one), tokens after the last, separators, and the counts between."""
-    flat = np.frombuffer(tokens, "<u2")
+    flat = np.frombuffer(tokens, BLOCK_KIND)
     at = np.flatnonzero(flat == separator)
     if not len(at):
         return len(flat), 0, 0, []
@@ -107,7 +110,7 @@ def count_tokens(blocks: DataFrame, separator: int = END_OF_DOCUMENT) -> DataFra
 
 
 def count_documents(blocks_path: str, spark) -> DataFrame:
-    """id and n_tokens of each document of files that ``write_blocks`` wrote."""
+    """id and n_tokens of each document of files that ``write_blocks`` wrote: a row for each row written, so repeated and null ids have theirs; none without files."""
     files = spark.read.schema("file int, n long, id long, tokens binary, kind string").parquet(blocks_path)
     counts = count_tokens(files.filter("kind = 'block'"))
     order = files.filter("kind = 'order'").select("file", F.col("n").alias("ordinal"), "id")

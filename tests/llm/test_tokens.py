@@ -1,8 +1,8 @@
 """Encoding against the tokenizers library, decoding, and token counts from flat files."""
 
 import hashlib
-import uuid
 
+import numpy as np
 import pytest
 from brute import ODD, documents, rows_of, table
 from hypothesis import given, settings
@@ -15,6 +15,10 @@ from meterlake.llm.queries import tokenizer_path
 TRUTH = Tokenizer.from_file(tokenizer_path())
 TRUTH.no_truncation()
 TRUTH.no_padding()
+BYTES_ONLY = Tokenizer.from_file(tokenizer_path())
+BYTES_ONLY.no_truncation()
+BYTES_ONLY.no_padding()
+BYTES_ONLY.encode_special_tokens = True  # a separator's name in a text is text
 OWN = bpe.encoder(bpe.pack_tokenizer(tokenizer_path()))
 
 
@@ -35,7 +39,7 @@ def test_chosen_texts(text):
 
 def test_the_two_trees_agree():
     pieces = [b"internationalization", b" the", b"zzzzzzzzzz", b"aaaaaaaaaaaaaaaaaaaaaaaa", "straße".encode(), b"x"]
-    assert OWN.merge_many(pieces) == [OWN.merge([OWN.byte_ids[b] for b in p]) for p in pieces]
+    assert [np.frombuffer(ids, OWN.kind).tolist() for ids in OWN.merge_many(pieces)] == [OWN.merge([OWN.byte_ids[b] for b in p]) for p in pieces]
 
 
 @pytest.mark.parametrize("sf", ["odd", "sf0.01"])
@@ -57,26 +61,24 @@ def test_round_trip(spark):
 
 
 @pytest.mark.parametrize("block", [1, 7, 1000, 1 << 16])
-def test_counts_from_blocks_of_any_size(spark, block):
+def test_counts_from_blocks_of_any_size(spark, tmp_path, block):
     rows = [r for r in ODD if block > 10 or len(r[1] or "") < 1000]
-    path = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+    path = str(tmp_path / "blocks")
     token_counts.write_blocks(table(spark, rows).repartition(3), tokenizer_path(), path, block_tokens=block)
     got = rows_of(token_counts.count_documents(path, spark), "id", "n_tokens")
-    want = [(i, sum(x != token_counts.END_OF_DOCUMENT for x in ids_of(t or ""))) for i, t, *_ in rows]
+    want = [(i, len(BYTES_ONLY.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in rows]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
 def test_counts_of_documents(spark):
     from meterlake.llm import queries
 
-    docs = documents(spark, "sf0.001")
-    got = rows_of(queries.op6_token_counts(spark, "/root/testdata/sf0.001"), "doc_id", "n_tokens")
+    docs = documents(spark, "sf0.01")
+    got = rows_of(queries.op6_token_counts(spark, "/root/testdata/sf0.01"), "doc_id", "n_tokens")
     assert sorted(got) == sorted((i, len(ids_of(t or ""))) for i, t in rows_of(docs, "doc_id", "text"))
 
 
 def test_a_scan_alone(spark):
-    import numpy as np
-
     rows = [(0, 0, [5, 5, 9, 9]), (0, 1, [5]), (0, 2, []), (0, 3, [5, 9, 5]), (1, 0, [9])]
     blocks = spark.createDataFrame([(f, n, bytearray(np.array(t, "<u2").tobytes())) for f, n, t in rows], "file int, n bigint, tokens binary")
     assert sorted(rows_of(token_counts.count_tokens(blocks, 9), "file", "ordinal", "n_tokens")) == [(0, 0, 2), (0, 1, 0), (0, 2, 2), (1, 0, 0)]
