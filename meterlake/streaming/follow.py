@@ -9,19 +9,24 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from meterlake.streaming.tail import tail
+from meterlake.sources.logs import file_order_of, trimmed
+from meterlake.streaming.tail import SCHEMA, tail
+
+#: Of the table's columns and the offsets' form.
+VERSION = 2
 
 
 def append_lines(lines: DataFrame, table: str, checkpoint: str, seconds: int | None = None) -> StreamingQuery:
     """Append a stream of lines to a Parquet folder; once through what is there now, or every ``seconds``.
 
     The file sink commits each batch once, also after a restart. Without ``seconds`` the call returns when the
-    files' sizes at its first batch are reached: Spark ends a Python source's available-now run after one batch
-    of bounded bytes, so runs follow each other until then. The query returned is the last run, ended.
+    files' sizes at its first batch are reached: Spark ends a Python source's available-now run after one batch,
+    which ``maxBytesPerBatch`` may bound, so runs follow each other until then, newest files first. The query
+    returned is the last run, ended.
     """
     writer = lines.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint)
     if seconds:
@@ -47,22 +52,35 @@ def _reached(query: StreamingQuery) -> tuple[bool, dict[str, int]]:
     return False, {}
 
 
-def follow(spark: SparkSession, logs: str, table: str, checkpoint: str, seconds: int | None = None) -> StreamingQuery:
-    return append_lines(tail(spark, logs), table, checkpoint, seconds)
+def follow(spark: SparkSession, logs: str, folder: str, seconds: int | None = None, **options) -> StreamingQuery:
+    """Append what ``logs`` has to the table below ``folder``; both it and its checkpoint are named by ``VERSION``."""
+    table, checkpoint = places(folder)
+    return append_lines(tail(spark, logs, **options), table, checkpoint, seconds)
+
 
+def places(folder: str) -> tuple[str, str]:
+    """Table and checkpoint below ``folder``: a new layout of either begins anew beside the old one."""
+    return f"{folder}/lines-v{VERSION}", f"{folder}/checkpoint-v{VERSION}"
 
-def current_lines(spark: SparkSession, table: str) -> DataFrame:
-    """The table's lines of each file's newest generation."""
-    rows = spark.read.schema("path string, rel string, generation long, start long, line string, provisional boolean").parquet(table)
-    newest = F.max("generation").over(Window.partitionBy("path"))
-    return rows.withColumn("_g", newest).filter("generation = _g").drop("_g")
 
+def current_lines(spark: SparkSession, table: str, provisional: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """The table's lines of each file's newest generation.
 
-def as_files(lines: DataFrame, tool: str) -> DataFrame:
-    """Lines put together again as files for the readers. A file is one row; a session's log is at most some MB."""
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "line"))), lambda x: x["line"]), "\n")
-    out = lines.groupBy("path", "rel").agg(body.alias("body"))
-    return out.select(F.lit(tool).alias("tool"), F.lit(0).alias("root_order"), F.lit(tool).alias("group"), "rel", "path", F.lit(0).cast("bigint").alias("mtime_ms"), F.length("body").cast("bigint").alias("size"), "body")
+    ``provisional`` (of ``lines_now``) adds the unfinished last lines of now, which the table never has. ``only``
+    (with a column path) keeps files that it names, so history of deleted files goes.
+    """
+    rows = spark.read.schema(SCHEMA).parquet(table)
+    newest = rows.groupBy("path").agg(F.max("generation").alias("_g"))  # a row a file
+    out = rows.join(newest, "path").filter("generation = _g").drop("_g")
+    if provisional is not None:
+        out = out.unionByName(provisional.filter("provisional"))
+    return out.join(only.select("path").distinct(), "path", "left_semi") if only is not None else out
+
+
+def as_lines(rows: DataFrame, tool: str, root_order: int = 0) -> DataFrame:
+    """Lines of ``log_tail`` as the readers take them: a line's place is its first byte."""
+    order = file_order_of(F.lit(root_order), F.col("rel"))
+    return trimmed(rows.select(F.lit(tool).alias("tool"), order.alias("file_order"), "path", "rel", F.lit(0).cast("bigint").alias("mtime_ms"), F.col("start").alias("line_no"), "line"))
 
 
 def daily_sums(events: DataFrame, timezone: str = "UTC") -> DataFrame:

@@ -18,12 +18,6 @@ def test_same_as_sql(spark, con, name):
     assert spark_rows(catalog.QUERIES[name](spark, SF)) == duck_rows(con, catalog.ORACLES[name])
 
 
-def test_forks_keep_only_their_own_event(spark):
-    rows = {r.file_order: r.events for r in catalog.QUERIES["fork_replay"](spark, SF).collect()}
-    assert all(n == 1 for k, n in rows.items() if k > 1_000_000)
-    assert len([k for k in rows if k > 1_000_000]) == len([k for k in rows if k <= 1_000_000])
-
-
 def test_entry(spark):
     import __spark_entry__
 
