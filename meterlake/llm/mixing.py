@@ -1,31 +1,43 @@
 """Mixing sources to target weights by min-cost flow over membership patterns.
 
 Documents are aggregated by the set of sources that they belong to. On the driver, a flow over these
-few patterns (their number is checked) routes token capacity to source quotas: a pattern's first
-pass is free, each further pass over it costs more, so words repeat only where quotas need them.
-The flow into a pattern is so many whole passes and a rest; the rest is taken from documents in the
-order of a seeded hash. Which ones follows from sums over hash buckets, found in two steps, so that
-no source is ever sorted or gathered; what a bucket boundary leaves open is filled by the largest
-documents that still fit, and at last by the one of the nearest size.
+patterns routes token capacity to source quotas: a pattern's first pass is free, each further pass over it
+costs more, so words repeat only where quotas need them. The flow into a pattern is so many whole passes
+and a rest; the rest is taken from documents in the order of a seeded hash. Which ones follows from sums over
+hash buckets, found in two steps, so that no source is ever sorted or gathered.
+
+What a bucket's border leaves open is filled in the same way from ever smaller documents. At last up to two
+documents are exchanged for up to two others as long as that brings a pattern nearer to its rest: candidates are two
+of each size class and the nearest in size, so a pattern's choice is made from a bounded number of rows.
+
+Rows that repeat an id and a size are one unit of the sum of their sizes: taken or left together, and counted so.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterlake.llm.common import small
+from meterlake.llm.common import cut, small
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-MAX_PATTERNS = 10_000
-FILL_ROUNDS = 4
+#: Larger patterns up to so many have their own node in the flow; documents of the others count for their first source only.
+MAX_PATTERNS = 50_000
 BUCKETS = 4096
+#: A rest is filled from documents of at most this share of it, until less than ``NEAR`` of the pattern's words is open.
+SMALLER, NEAR = 1 / 8, 1e-4
+#: Where more than this share is open then, single documents may also have a pass more than the others, or fewer.
+WIDE = 2e-3
+#: Size classes to a doubling; candidates for single documents come from each.
+CLASSES = 8
 
 
 def word_count(text: str | Column) -> Column:
@@ -52,63 +64,85 @@ def targets_by_weight(sizes: dict, order: Sequence, weights=WEIGHTS, max_repeats
 def min_cost_flow(capacity: dict, quota: dict, members: dict, max_repeats: int = MAX_REPEATS) -> dict:
     """Words that each pattern gives each source: {(pattern, source): words}, most words first, then least cost.
 
-    ``capacity`` is a pattern's size, ``members`` its sources. Pass k over a pattern costs (k - 1)².
-    Successive shortest paths; path lengths use potentials, so Dijkstra holds throughout.
+    ``capacity`` is a pattern's size, ``members`` its sources. Pass k over a pattern costs (k - 1)². A
+    shortest augmenting path pays for its first arc only, as routing words anew between sources is free; so the
+    passes are a series of largest flows, each in paths over the few sources: from a to b by a pattern that
+    gives to a and belongs to b.
     """
-    patterns, sources = list(capacity), list(quota)
-    node = {("p", p): i + 1 for i, p in enumerate(patterns)} | {("s", s): i + 1 + len(patterns) for i, s in enumerate(sources)}
-    sink = len(node) + 1
-    to, room, cost, out = [], [], [], [[] for _ in range(sink + 1)]
-
-    def arc(a: int, b: int, most: int, price: int) -> int:
-        for x, y, m, c in ((a, b, most, price), (b, a, 0, -price)):
-            out[x].append(len(to))
-            to.append(y)
-            room.append(m)
-            cost.append(c)
-        return len(to) - 2
-
-    for p in patterns:
-        for k in range(max_repeats):
-            arc(0, node["p", p], capacity[p], k * k)
-    given = {(p, s): arc(node["p", p], node["s", s], max_repeats * capacity[p], 0) for p in patterns for s in members[p] if s in quota}
-    for s in sources:
-        arc(node["s", s], sink, quota[s], 0)
-    height = [0] * (sink + 1)
-    while True:
-        far: list[float] = [float("inf")] * (sink + 1)
-        far[0], came, heap = 0, [-1] * (sink + 1), [(0, 0)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > far[a]:
-                continue
-            for e in out[a]:
-                step = d + cost[e] + height[a] - height[to[e]]
-                if room[e] and step < far[to[e]]:
-                    far[to[e]], came[to[e]] = step, e
-                    heapq.heappush(heap, (step, to[e]))
-        if far[sink] == float("inf"):
-            return {k: room[e ^ 1] for k, e in given.items()}
-        height = [h + (d if d < float("inf") else far[sink]) for h, d in zip(height, far, strict=True)]
-        path, a = [], sink
-        while a:
-            path.append(came[a])
-            a = to[came[a] ^ 1]
-        push = min(room[e] for e in path)
-        for e in path:
-            room[e] -= push
-            room[e ^ 1] += push
+    given = {(p, s): 0 for p in capacity for s in members[p] if s in quota}
+    open_quota = dict(quota)
+    givers: dict = {s: {} for s in quota}  # source: patterns that give to it, as an ordered set
+    own: dict = {p: [s for s in members[p] if s in quota] for p in capacity}
+
+    def give(p, s, n: int) -> None:
+        given[p, s] += n
+        if given[p, s]:
+            givers[s][p] = None
+        else:
+            givers[s].pop(p, None)
+
+    def path(p) -> list | None:
+        """Sources and the patterns between them, from one of p's sources to one with open quota."""
+        came: dict = {s: None for s in own[p]}
+        waiting = deque(own[p])
+        while waiting:
+            a = waiting.popleft()
+            if open_quota[a] > 0:
+                steps = [a]
+                while came[steps[-1]] is not None:
+                    steps += came[steps[-1]]
+                return steps[::-1]
+            for q in givers[a]:
+                for b in own[q]:
+                    if b not in came:
+                        came[b] = (q, a)
+                        waiting.append(b)
+                if len(came) == len(quota):
+                    break
+        return None
+
+    for _ in range(max_repeats):
+        stuck: set = set()  # once no path leads on from a set of sources, none does later in the pass
+        for p in sorted(capacity, key=lambda x: len(own[x])):
+            left = capacity[p]
+            while left > 0 and frozenset(own[p]) not in stuck:
+                steps = path(p)
+                if steps is None:
+                    stuck.add(frozenset(own[p]))
+                    break
+                sources, between = steps[::2], steps[1::2]
+                push = min(left, open_quota[sources[-1]], *(given[q, a] for q, a in zip(between, sources[:-1], strict=True)))
+                give(p, sources[0], push)
+                for q, a, b in zip(between, sources[:-1], sources[1:], strict=True):
+                    give(q, a, -push)
+                    give(q, b, push)
+                open_quota[sources[-1]] -= push
+                left -= push
+    return given
+
+
+@dataclass
+class Rest:
+    """How a pattern's rest is taken: hash buckets below ``cut``; of documents up to a level's size those below its cut; single ones."""
+
+    words: int
+    passes: int
+    left: int
+    cut: int = 0
+    levels: list[tuple[int, int]] = field(default_factory=list)  # size, cut; sizes fall, cuts rise
+    extra: dict[int, int] = field(default_factory=dict)  # passes over single documents, more or fewer
 
 
 @dataclass
 class Mix:
-    """What a mix takes: per pattern whole passes, then documents below a hash cut, then single ones."""
+    """What a mix takes of each pattern, and the sources' sizes and targets."""
 
     seed: int
-    rows: list[tuple] = field(default_factory=list)  # pattern, passes, cut, picked hashes
+    rests: dict[tuple, Rest] = field(default_factory=dict)
     source_size: dict = field(default_factory=dict)
     target: dict = field(default_factory=dict)
     flow: dict = field(default_factory=dict)
+    merged: bool = False  # whether patterns without a node of their own count for their first source
 
 
 def pattern_of(members: Column) -> Column:
@@ -128,48 +162,55 @@ def _bucket(h: Column) -> Column:
     return F.shiftright(h, 24).cast("int")
 
 
-def plan_mix(docs: DataFrame, id_col: str, size_col: str, members: Column, weights=WEIGHTS, seed: int = 17, max_repeats: int = MAX_REPEATS, max_patterns: int = MAX_PATTERNS, fill_rounds: int = FILL_ROUNDS) -> Mix:
+def _units(docs: DataFrame, id_col: str, size_col: str, members: Column, seed: int) -> DataFrame:
+    """pattern, h, one (a row's size), size (of all rows of h), written once."""
+    rows = docs.select(pattern_of(members).alias("pattern"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("one"), _hash(seed, F.col(id_col), F.col(size_col)).alias("h"))
+    return cut(rows.groupBy("pattern", "h").agg(F.max("one").alias("one"), F.sum("one").alias("size")))
+
+
+def _first_source(pattern: Column) -> Column:
+    return F.slice(pattern, 1, 1)
+
+
+def plan_mix(docs: DataFrame, id_col: str, size_col: str, members: Column, weights=WEIGHTS, seed: int = 17, max_repeats: int = MAX_REPEATS, max_patterns: int = MAX_PATTERNS) -> Mix:
     """Route all of ``docs`` to the sources' targets; the driver sees a few numbers for each pattern only.
 
-    ``members`` is an array of a document's sources. More than ``max_patterns`` patterns are an error.
-    Rows that repeat an id and size are taken or left together. Empty documents take nothing.
+    ``members`` is an array of a document's sources; a null one is a source, a null array has none, so its documents
+    are never taken. Beyond ``max_patterns`` patterns, documents of the smaller ones count for the first of their
+    sources only. Empty documents and null sizes take nothing, an empty table gives an empty mix. Documents of one
+    size are chosen by their hash.
     """
-    base = docs.select(pattern_of(members).alias("pattern"), F.coalesce(F.col(size_col), F.lit(0)).alias("size"), _hash(seed, F.col(id_col), F.col(size_col)).alias("h"))
-    found = base.groupBy("pattern").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
-    if len(found) > max_patterns:
-        raise ValueError(f"over {max_patterns} membership patterns")
-    members_of = {tuple((m.is_null, m.name) for m in r.pattern): r["size"] for r in found}
-    sources = sorted({s for p in members_of for s in p}, key=lambda s: (s[0], (s[1] or "").encode()))
-    sizes = {s: sum(n for p, n in members_of.items() if s in p) for s in sources}
-    mix = Mix(seed, source_size=sizes, target=targets_by_weight(sizes, sources, weights, max_repeats))
-    quota = {s: round(mix.target[s]) for s in sources}
-    mix.flow = min_cost_flow(members_of, quota, {p: p for p in members_of}, max_repeats)
-    words = {p: sum(mix.flow.get((p, s), 0) for s in p) for p in members_of}
-    passes = {p: min(max_repeats, words[p] // n) if n else 0 for p, n in members_of.items()}
-    rest = {p: words[p] - passes[p] * n for p, n in members_of.items()}
-    cut_at, left = _cuts(docs.sparkSession, base, rest)
-    picked: dict = {p: [] for p in rest}
-    filling = set(rest)
-    for step in range(fill_rounds + 1):
-        last = step == fill_rounds  # then the nearest size may also exceed what is left
-        wanted = [(*_args(p), cut_at[p], left[p], picked[p]) for p in rest if left[p] > 0 and (last or p in filling)]
-        if not wanted:
-            continue
-        side = _frame(docs.sparkSession, wanted, "cut int, left long, picked array<long>")
-        free = base.join(F.broadcast(side), "pattern").filter("size > 0 and shiftright(h, 24) >= cut and not array_contains(picked, h)")
-        near = free.filter("size < 2 * left").groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")), "size", "h")).alias("best"))
-        best = near if last else free.filter("size <= left").groupBy("pattern").agg(F.max(F.struct("size", "h")).alias("best"))
-        taken = {_key(r.pattern): r.best for r in best.collect()}
-        for p, doc in taken.items():
-            picked[p].append(doc["h"])
-            left[p] -= doc["size"]
-        filling &= set(taken)
-    mix.rows = [(*_args(p), int(passes[p]), cut_at[p], picked[p]) for p in members_of]
+    units = _units(docs, id_col, size_col, members, seed)
+    sums = cut(units.groupBy("pattern").agg(F.sum("size").alias("size")))
+    mix = Mix(seed, merged=sums.count() > max_patterns)
+    kept = sums
+    if mix.merged:
+        kept = cut(sums.orderBy(F.desc("size"), "pattern").limit(max_patterns))
+        named = units.join(small(kept.select("pattern", F.lit(True).alias("own")), MAX_PATTERNS), "pattern", "left")
+        units = cut(named.withColumn("pattern", F.when(F.col("own"), F.col("pattern")).otherwise(_first_source(F.col("pattern")))).drop("own"))
+        kept = units.groupBy("pattern").agg(F.sum("size").alias("size"))
+    members_of = {_key(r.pattern): r["size"] for r in kept.collect()}
+    by_source = sums.select(F.explode("pattern").alias("s"), "size").groupBy("s").agg(F.sum("size").alias("size")).collect()
+    sizes = {(r.s.is_null, r.s.name): r["size"] for r in by_source}
+    sources = sorted(sizes, key=lambda s: (s[0], (s[1] or "").encode()))
+    mix.source_size, mix.target = sizes, targets_by_weight(sizes, sources, weights, max_repeats)
+    mix.flow = min_cost_flow(members_of, {s: round(mix.target[s]) for s in sources}, {p: p for p in members_of}, max_repeats)
+    for p, n in members_of.items():
+        words = sum(mix.flow.get((p, s), 0) for s in p)
+        passes = min(max_repeats, words // n) if n else 0
+        mix.rests[p] = Rest(words, passes, words - passes * n)
+    _cut_in_order(units, mix, first=True)
+    while any(map(_is_open, mix.rests.values())) and _cut_in_order(units, mix, first=False):
+        pass
+    for wide, share in ((False, NEAR), (True, WIDE)):
+        live = {p for p, r in mix.rests.items() if abs(r.left) > share * r.words}
+        while live:
+            live = {p for p in _choose_single(units, mix, live, max_repeats, wide) if abs(mix.rests[p].left) > share * mix.rests[p].words}
     return mix
 
 
-def _args(pattern: tuple) -> tuple:
-    return ([{"is_null": a, "name": b} for a, b in pattern],)
+def _is_open(r: Rest) -> bool:
+    return r.left > NEAR * r.words and r.left * SMALLER >= 1
 
 
 def _key(pattern) -> tuple:
@@ -177,34 +218,123 @@ def _key(pattern) -> tuple:
 
 
 def _frame(spark, rows: list, columns: str) -> DataFrame:
-    return spark.createDataFrame(rows, f"pattern array<struct<is_null boolean, name string>>, {columns}")
+    """Rows whose first value is a pattern's key; broadcast if they are few."""
+    named = [([{"is_null": a, "name": b} for a, b in p], *rest) for p, *rest in rows]
+    return small(spark.createDataFrame(named, f"pattern array<struct<is_null boolean, name string>>, {columns}"), MAX_PATTERNS)
 
 
-def _cuts(spark, base: DataFrame, rest: dict) -> tuple[dict, dict]:
-    """For each pattern: the first hash bucket whose documents don't all fit into the rest; what is left before it."""
-    cut_at, left = {p: 0 for p in rest}, dict(rest)
-    for level in (BUCKETS, 1):
-        live = [(*_args(p), cut_at[p], left[p]) for p in rest if left[p] > 0]
-        if not live:
+_TAKEN_COLUMNS = "passes bigint, cut int, levels array<struct<size bigint, cut int>>, extra map<bigint,int>"
+
+
+def _taken_values(r: Rest) -> tuple:
+    return (r.passes, r.cut, [{"size": n, "cut": c} for n, c in r.levels], r.extra)
+
+
+def _times(one: str) -> Column:
+    """How often a document of hash h is taken, its size being ``one``."""
+    in_order = (_bucket(F.col("h")) < F.col("cut")) | F.exists("levels", lambda x: (F.col(one) <= x["size"]) & (_bucket(F.col("h")) < x["cut"]))
+    return F.when(F.col(one) > 0, F.col("passes") + in_order.cast("long") + F.coalesce(F.col("extra")[F.col("h")], F.lit(0))).otherwise(F.col("passes"))
+
+
+def _cut_in_order(units: DataFrame, mix: Mix, first: bool) -> bool:
+    """Take documents in hash order until one doesn't fit: of all sizes ``first``, else of small ones only. Whether any rest shrank."""
+    spark = units.sparkSession
+    live = {p: r for p, r in mix.rests.items() if r.left > 0 and (first or _is_open(r))}
+    size = {p: (1 << 62) if first else int(r.left * SMALLER) for p, r in live.items()}
+    begin = {p: r.levels[-1][1] if r.levels else r.cut for p, r in live.items()}
+    before, end = {p: r.left for p, r in live.items()}, dict(begin)
+    for width in (BUCKETS, 1):
+        rows = [(p, begin[p], end[p], size[p], r.left) for p, r in live.items() if end[p] < BUCKETS * BUCKETS and r.left > 0]
+        if not rows:
             break
-        side = _frame(spark, live, "cut int, left long")
+        side = _frame(spark, rows, "begin int, at int, most bigint, left bigint")
         bucket = _bucket(F.col("h"))
-        inside = base.join(F.broadcast(side), "pattern").filter((bucket >= F.col("cut")) & (bucket < F.col("cut") + F.lit(BUCKETS * level)))
-        sums = inside.groupBy("pattern", F.floor(bucket / level).alias("b")).agg(F.sum("size").alias("size"), F.max("left").alias("left"))
-        run = sums.withColumn("upto", F.sum("size").over(Window.partitionBy("pattern").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)))  # BUCKETS rows a pattern at most
+        # the first step looks at all buckets from the last cut on, the second inside the wide one that didn't fit
+        inside = units.join(side, "pattern").filter((F.col("one") <= F.col("most")) & (bucket >= F.col("at")) & (F.lit(width > 1) | (bucket < F.shiftleft(F.shiftright("at", 12) + 1, 12))))
+        by_bucket = inside.groupBy("pattern", F.floor(bucket / width).cast("int").alias("b")).agg(F.sum("size").alias("size"), F.max("left").alias("left"))
+        run = by_bucket.withColumn("upto", F.sum("size").over(Window.partitionBy("pattern").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)))  # BUCKETS rows a pattern at most
         beyond = F.col("upto") > F.col("left")
-        for r in run.groupBy("pattern").agg(F.min(F.when(beyond, F.col("b"))).alias("b"), F.max(F.when(~beyond, F.col("upto"))).alias("upto")).collect():
-            p = _key(r.pattern)
-            cut_at[p], left[p] = int(r.b) * level, left[p] - int(r.upto or 0)
-    return cut_at, left
+        found = {_key(r.pattern): r for r in run.groupBy("pattern").agg(F.min(F.when(beyond, F.col("b"))).alias("b"), F.max(F.when(~beyond, F.col("upto"))).alias("upto")).collect()}
+        for p, *_ in rows:
+            r = found.get(p)
+            upto, stop = (int(r.upto or 0), r.b) if r else (0, None)
+            live[p].left -= upto
+            top = BUCKETS * BUCKETS if width > 1 else ((end[p] >> 12) + 1) << 12
+            end[p] = top if stop is None else max(end[p], int(stop) * width)
+    for p, r in live.items():
+        if first:
+            r.cut = end[p]
+        elif end[p] > begin[p]:
+            r.levels.append((size[p], end[p]))
+    return any(r.left < before[p] for p, r in live.items())
+
+
+def _choose_single(units: DataFrame, mix: Mix, live: set, max_repeats: int, wide: bool) -> set:
+    """Exchange passes over single documents where that brings a rest nearer; the patterns that changed.
+
+    Without ``wide`` a document has the pattern's whole passes or one more.
+    """
+    names = sorted(live, key=repr)
+    side = _frame(units.sparkSession, [(p, i, mix.rests[p].left, *_taken_values(mix.rests[p])) for i, p in enumerate(names)], f"pid int, left bigint, {_TAKEN_COLUMNS}")
+    rows = units.filter("size > 0").join(side, "pattern").select("pid", "left", "passes", _times("one").alias("n"), "h", "size")
+    low, high = (F.lit(0), F.lit(max_repeats)) if wide else (F.col("passes"), F.least(F.col("passes") + 1, F.lit(max_repeats)))
+    sides = F.filter(F.array(F.when(F.col("n") > low, True), F.when(F.col("n") < high, False)), lambda x: x.isNotNull())
+    doc = lambda order: F.struct(order.alias("o"), F.col("h").alias("h"), F.col("size").alias("size"))
+    by_class = rows.withColumn("taken", F.explode(sides)).groupBy("pid", "left", "taken", F.floor(F.log2("size") * CLASSES).cast("int").alias("class")).agg(
+        F.min(doc(F.col("h"))).alias("a"), F.max(doc(F.col("h"))).alias("b"), F.min(doc(F.abs(F.col("size") - F.col("left")))).alias("c"))
+    candidates = by_class.select("pid", "left", "taken", F.explode(F.array_distinct(F.transform(F.array("a", "b", "c"), lambda x: F.struct(x["h"].alias("h"), x["size"].alias("size"))))).alias("x")).select("pid", "left", "taken", "x.h", "x.size")
+    moves = candidates.groupBy("pid").applyInPandas(_moves, "pid int, h long, size long, taken boolean").collect()
+    for m in moves:
+        rest, step = mix.rests[names[m.pid]], -1 if m.taken else 1
+        rest.left -= step * m["size"]
+        rest.extra[m.h] = rest.extra.get(m.h, 0) + step
+    return {names[m.pid] for m in moves}
+
+
+def _sums(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the sizes of no, one and two documents, ascending, and which ones they are (0 for none)."""
+    sizes = np.concatenate([[0], docs[:, 1]])
+    i, j = np.triu_indices(len(sizes))
+    real = (i < j) | (j == 0)
+    i, j = i[real], j[real]
+    total = sizes[i] + sizes[j]
+    order = np.lexsort((j, i, total))
+    return total[order], np.stack([i, j], axis=1)[order]
+
+
+def _moves(rows: pd.DataFrame) -> pd.DataFrame:
+    """Documents of one pattern to take (or, taken ones, to leave): the best exchange of up to two for up to two, again and again while it brings the rest nearer."""
+    rows = rows.sort_values(["size", "h"]).drop_duplicates(["h", "taken"])
+    left = int(rows["left"].iloc[0])
+    own, free = (rows[side][["h", "size"]].to_numpy(np.int64) for side in (rows.taken, ~rows.taken))
+    out = []
+    while True:
+        (back, back_of), (more, more_of) = _sums(own), _sums(free)
+        at = np.searchsorted(more, left + back)
+        far = np.stack([np.abs(left + back - more[np.clip(at + k, 0, len(more) - 1)]) for k in (-1, 0)])
+        k, i = np.unravel_index(far.argmin(), far.shape)
+        if far[k, i] >= abs(left):
+            break
+        j = int(np.clip(at[i] + k - 1, 0, len(more) - 1))
+        left += int(back[i] - more[j])
+        gone, new = [x - 1 for x in back_of[i] if x], [x - 1 for x in more_of[j] if x]
+        out += [(*own[x].tolist(), True) for x in gone] + [(*free[x].tolist(), False) for x in new]
+        own, free = np.delete(own, gone, axis=0), np.delete(free, new, axis=0)
+    return pd.DataFrame([(int(rows["pid"].iloc[0]), *m) for m in out], columns=["pid", "h", "size", "taken"])
 
 
 def with_taken(docs: DataFrame, mix: Mix, id_col: str, size_col: str, members: Column, name: str = "taken") -> DataFrame:
-    """``docs`` with the number of passes that the mix takes over each document, as ``name``; the sides by pattern are small by ``MAX_PATTERNS``."""
-    side = _frame(docs.sparkSession, mix.rows, "passes long, cut int, picked array<long>")
-    boxes = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), pattern_of(members).alias("pattern"), _hash(mix.seed, F.col(id_col), F.col(size_col)).alias("h"), F.coalesce(F.col(size_col), F.lit(0)).alias("size"))
-    more = ((_bucket(F.col("h")) < F.col("cut")) | F.array_contains("picked", F.col("h"))) & (F.col("size") > 0)
-    return boxes.join(F.broadcast(side), "pattern").select("doc.*", (F.col("passes") + more.cast("long")).alias(name))
+    """``docs`` with the number of passes that the mix takes over each document, as ``name``; all rows and columns stay.
+
+    ``docs`` are those of ``plan_mix``. Rows that repeat an id and a size have the same number; null ids are ids of
+    their own, null and empty sizes aren't taken. The side by pattern is broadcast if it is small.
+    """
+    side = _frame(docs.sparkSession, [(p, *_taken_values(r)) for p, r in mix.rests.items()], _TAKEN_COLUMNS)
+    boxes = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), pattern_of(members).alias("pattern"), _hash(mix.seed, F.col(id_col), F.col(size_col)).alias("h"), F.coalesce(F.col(size_col), F.lit(0)).alias("one"))
+    if mix.merged:
+        known = side.select("pattern", F.lit(True).alias("own"))
+        boxes = boxes.join(known, "pattern", "left").withColumn("pattern", F.when(F.col("own"), F.col("pattern")).otherwise(_first_source(F.col("pattern")))).drop("own")
+    return boxes.join(side, "pattern", "left").select("doc.*", F.coalesce(_times("one"), F.lit(0)).cast("long").alias(name))
 
 
 def source_facts(spark, mix: Mix) -> DataFrame:

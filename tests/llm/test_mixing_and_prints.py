@@ -72,7 +72,42 @@ def test_overlapping_sources(spark):
     out = mixing.with_taken(docs, mix, "doc_id", "size", F.col("sources"), "passes").collect()
     assert len(out) == 600 and all(r.passes == 0 for r in out if r.sources is None) and all(0 <= r.passes <= 3 for r in out)
     flow = sum(mix.flow.values())
-    assert abs(sum(r.passes * r.size for r in out) - flow) <= 10
+    assert abs(sum(r.passes * r.size for r in out) - flow) <= 1
+    few = mixing.plan_mix(docs, "doc_id", "size", F.col("sources"), max_patterns=2)  # the others count for their first source
+    again = mixing.with_taken(docs, few, "doc_id", "size", F.col("sources"), "passes").collect()
+    assert len(again) == 600 and all(r.passes == 0 for r in again if r.sources is None)
+    assert few.source_size == mix.source_size and abs(sum(r.passes * r.size for r in again) - sum(few.flow.values())) <= 1
+
+
+def test_many_patterns_flow():
+    rng = random.Random(9)
+    names = [f"s{i:02d}" for i in range(20)]
+    members = {i: sorted(rng.sample(names, rng.randint(1, 4))) for i in range(30_000)}
+    capacity = {i: rng.randint(1, 50) for i in members}
+    total = sum(capacity.values())
+    quota = {s: total // 20 for s in names}
+    flow = mixing.min_cost_flow(capacity, quota, members)
+    assert sum(flow.values()) == sum(quota.values())  # nothing stands in the way of full quotas here
+    assert all(sum(n for (_, s), n in flow.items() if s == q) <= quota[q] for q in names)
+
+
+def test_repeated_rows_are_counted(spark):
+    rows = [(i, "ab"[i % 2], 10) for i in range(20) for _ in range(10)]  # ten copies of each id
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint")
+    mix = mixing.plan_mix(docs, "doc_id", "size", F.array("source"))
+    out = mixing.with_taken(docs, mix, "doc_id", "size", F.array("source"), "passes")
+    got = {r.source: r.n for r in out.groupBy("source").agg(F.sum(F.col("passes") * F.col("size")).alias("n")).collect()}
+    assert all(abs(got[s] - mix.target[False, s]) <= 50 for s in "ab"), (got, mix.target)  # a unit of ten rows is 100 words
+    assert out.groupBy("doc_id").agg(F.count_distinct("passes").alias("n")).filter("n > 1").count() == 0
+
+
+def test_a_rest_of_one_long_and_many_short_documents(spark):
+    rows = [(0, "a", 1_000_000)] + [(i, "a", 10) for i in range(1, 60_001)] + [(100_000 + i, "b", 1000) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint")
+    mix = mixing.plan_mix(docs, "doc_id", "size", F.array("source"))
+    out = mixing.with_taken(docs, mix, "doc_id", "size", F.array("source"), "passes")
+    got = {r.source: r.n for r in out.groupBy("source").agg(F.sum(F.col("passes") * F.col("size")).alias("n")).collect()}
+    assert all(abs(got[s] - mix.target[False, s]) <= max(500, 2e-4 * mix.target[False, s]) for s in "ab"), (got, mix.target)
 
 
 def test_edited_texts(spark):
