@@ -1,9 +1,12 @@
 """Plain, slow versions of what the operators compute, and tables of odd rows."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -107,5 +110,63 @@ def quality(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
 
 
+FLOORS = np.array([0.08, 0.4, 0.4, 0.5])
+
+
+def _estimate(x, prior, k=20):
+    """Mean, covariance and median squared distance of a group's MCD; ``prior`` (mean, moments) adds k documents to each half."""
+
+    def moments(half):
+        n = max(len(half) + (k if prior else 0), 1)
+        total, square = half.sum(axis=0) / 1024, (half.T @ half) / 1024**2
+        if prior:
+            total, square = total + k * prior[0], square + k * prior[1]
+        mean = total / n
+        return mean, square / n - np.outer(mean, mean) + np.diag(FLOORS**2)
+
+    def classes(mean, cov):
+        z = np.linalg.solve(np.linalg.cholesky(cov), (x / 1024 - mean).T)
+        return np.floor(np.log(np.maximum((z**2).sum(axis=0), 1e-12)) * 256)
+
+    middle = np.median(x, axis=0)
+    spread = np.maximum(1.4826 * np.median(np.abs(x - middle), axis=0) / 1024, FLOORS)
+    found = []
+    for mean, cov in ((middle / 1024, np.diag(spread**2)), moments(x)):
+        least = math.inf
+        while True:
+            c = classes(mean, cov)
+            new = moments(x[c <= np.floor(np.median(c))])
+            root = math.sqrt(np.linalg.det(new[1]))
+            if not root < least * (1 - 1e-4):
+                break
+            least, (mean, cov) = root, new
+        found.append((least, mean, cov))
+    _, mean, cov = min(found, key=lambda f: f[0])
+    return mean, cov, math.exp(np.median(classes(mean, cov)) / 256)
+
+
+def quality_verdicts(rows):
+    """{id: (kept, squared distance over its cut)}; rows: (id, text, lang, source) with ids that differ."""
+    groups, out = defaultdict(list), {}
+    for i, text, lang, source in rows:
+        n, chars, symbols, lines, repeats = quality(text)
+        out[i] = (False, None)
+        if n >= 10 and 100 * repeats <= 20 * n:
+            c = max(chars, 1)
+            x = [math.log(c / n), math.log1p(100 * symbols / c), math.log1p(100 * lines / n), math.log1p(100 * repeats / n)]
+            groups[lang, source].append((i, [math.floor(v * 1024 + 0.5) for v in x]))
+    every = np.array([x for own in groups.values() for _, x in own], np.int64)
+    mean, cov, common = _estimate(every, None)
+    prior = (mean, cov - np.diag(FLOORS**2) + np.outer(mean, mean))
+    for own in groups.values():
+        x = np.array([v for _, v in own], np.int64)
+        mean, cov, middle = _estimate(x, prior)
+        scale = max((len(own) * middle + 20 * common) / (len(own) + 20) / 3.3567, 1.0)
+        z = np.linalg.solve(np.linalg.cholesky(cov), (x / 1024 - mean).T)
+        for (i, _), d in zip(own, (z**2).sum(axis=0) / scale, strict=True):
+            out[i] = (bool(d <= 18.467), d / 18.467)
+    return out
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()

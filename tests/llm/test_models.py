@@ -1,7 +1,7 @@
 """Held-out accuracy of the trained operators, and the quality rules against a plain version."""
 
 import pytest
-from brute import ODD, documents, quality, rows_of, table
+from brute import ODD, documents, quality, quality_verdicts, rows_of, table
 from pyspark.sql import functions as F
 
 from meterlake.llm import language_id, quality_rules, queries
@@ -72,3 +72,48 @@ def test_who_is_held_out(spark):
     docs = spark.createDataFrame([(i,) for i in (*range(50), None)], "doc_id bigint")
     got = {r.doc_id: r.h for r in docs.select("doc_id", held_out("doc_id").alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(50)} | {None: False}
+
+
+def test_verdicts_are_those_of_a_plain_estimate(spark):
+    docs = documents(spark, "sf0.01")
+    want = quality_verdicts(rows_of(docs, "doc_id", "text", "lang", "source"))
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i].distance is None if ratio is None else abs(got[i].distance / quality_rules.MAX_DISTANCE - ratio) < 1e-6 * (1 + ratio) for i, (_, ratio) in want.items())
+    assert {i: r.kept for i, r in got.items()} == {i: kept for i, (kept, _) in want.items()}
+    assert len({(r.lang, r.source) for r in docs.select("lang", "source").collect()}) > 50  # most groups are small here
+
+
+def test_verdicts_do_not_depend_on_the_layout(spark):
+    docs = documents(spark, "sf0.001")
+    one = sorted(map(tuple, quality_rules.judge(docs).collect()))
+    assert one == sorted(map(tuple, quality_rules.judge(docs.repartition(7, "text")).collect()))
+
+
+def test_the_language_model_does_not_depend_on_the_layout(spark):
+    docs = documents(spark, "sf0.001")
+    one, other = language_id.fit(docs), language_id.fit(docs.repartition(5, "text"))
+    assert one.languages == other.languages and (one.log_prob == other.log_prob).all()
+
+
+def test_scores_are_those_of_each_text_alone():
+    import numpy as np
+
+    model = language_id.LanguageModel(["a", "b"], np.log(np.random.default_rng(1).random((1 << language_id.BUCKET_BITS, 2))).astype(np.float32))
+    texts = ["", "x", "Äbc déf", "the cat sat", "\U0001f600 ok"]
+    together = language_id.score_texts(texts, model)
+    for t, row in zip(texts, together, strict=True):
+        padded, want = [ord(c) for c in f" {t.lower()} "], np.zeros(2)
+        for order in language_id.ORDERS:
+            for i in range(len(padded) - order + 1):
+                want += model.log_prob[language_id.ngram_buckets(np.array(padded[i : i + order], np.uint32), order)[0]]
+        assert np.allclose(row, want)
+
+
+def test_many_languages_and_ties(spark):
+    rows = [(i, f"w{i % 300} w{i % 300} q{i % 300}", f"l{i % 300:03d}", "web") for i in range(600)]
+    model = language_id.fit(table(spark, rows))
+    assert len(model.languages) == 300 and model.bits == language_id.BUCKET_BITS - 1
+    twins = language_id.fit(table(spark, [(1, "same words here", "b", "web"), (2, "same words here", "a", "web")]))
+    got = language_id.predict(table(spark, [(3, "same words here", None, "web")]), twins).first()
+    assert (got.lang_pred, got.score) == ("a", 0.5)  # of equals the first by name
