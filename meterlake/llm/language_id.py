@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of n-grams by language are summed by Spark over a bounded sample of labelled documents; the
-log-probability matrix (buckets x languages, its size fixed by parameters) is broadcast, and numpy
-scores whole texts: it gathers a matrix row for each n-gram and sums them by document.
+log-probability matrix (buckets x languages, of at most ``MAX_CELLS`` cells) is broadcast, and numpy
+scores whole texts: a text is a sparse vector of its buckets' counts, which is multiplied by the matrix.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterlake.llm.common import codes, held_out, mix64, runs, segment_sums, tidy, uniform
+from meterlake.llm.common import codes, held_out, runs, small, tidy, uniform
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 15
 #: Fit on about so many documents of each language at most, by a hash of their ids.
 FIT_PER_LANGUAGE = 800
-MAX_LANGUAGES = 256
+#: The matrix's bound: of over 256 languages each has half the buckets, of over 512 a quarter, and so on.
+MAX_CELLS = 1 << 23
+MAX_LANGUAGES = 1 << 13
 SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Texts are scored in groups of about so many characters.
@@ -35,7 +37,16 @@ class LanguageModel:
     log_prob: np.ndarray  # buckets x languages, float32
 
 
-def ngram_buckets(flat: np.ndarray, order: int) -> np.ndarray:
+    @property
+    def bits(self) -> int:
+        return len(self.log_prob).bit_length() - 1
+
+
+def bucket_bits(languages: int) -> int:
+    return min(BUCKET_BITS, (MAX_CELLS // max(languages, 1)).bit_length() - 1)
+
+
+def ngram_buckets(flat: np.ndarray, order: int, bits: int = BUCKET_BITS) -> np.ndarray:
     """The bucket of the n-gram that begins at each character (those that cross a text's end included)."""
     n = len(flat) - order + 1
     if n <= 0:
@@ -44,7 +55,7 @@ def ngram_buckets(flat: np.ndarray, order: int) -> np.ndarray:
     for k in range(order):
         h = h * np.uint64(0x9E3779B97F4A7C15) + flat[k : k + n].astype(np.uint64)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _lowered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,24 +63,21 @@ def _lowered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes([f" {t.lower()} " for t in texts])
 
 
-def _ends(offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last + 1 place of each text's n-grams."""
-    return offsets[:-1], np.maximum(offsets[1:] - order + 1, offsets[:-1])
+def bucket_counts(texts: list[str], bits: int) -> Iterator[np.ndarray]:
+    """For each text, how often each bucket has one of its n-grams; n-grams across two texts don't count."""
+    flat, offsets = _lowered(texts)
+    buckets = [ngram_buckets(flat, order, bits) for order in ORDERS]
+    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        own = [b[lo : max(hi - order + 1, lo)] for order, b in zip(ORDERS, buckets, strict=True)]
+        yield np.bincount(np.concatenate(own), minlength=1 << bits)
 
 
 def score_texts(texts: list[str], model: LanguageModel) -> np.ndarray:
     """Log-likelihoods, a row for each text."""
-    flat, offsets = _lowered(texts)
     out = np.zeros((len(texts), len(model.languages)))
-    for order in ORDERS:
-        buckets = ngram_buckets(flat, order)
-        start, end = _ends(offsets, order)
-        values = model.log_prob[buckets]
-        if order > 1:  # n-grams across two texts don't count
-            cross = (offsets[1:-1, None] - np.arange(1, order)).ravel()
-            values[cross[cross < len(values)]] = 0
-        bounds = np.minimum(np.append(start, len(values)), len(values))
-        out += segment_sums(values, bounds)
+    for row, counts in zip(out, bucket_counts(texts, model.bits), strict=True):
+        at = np.flatnonzero(counts)
+        row[:] = counts[at] @ model.log_prob[at].astype(np.float64)
     return out
 
 
@@ -81,8 +89,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     """A model of the languages of ``docs``: rows with a text and a language.
 
     The sample takes each row by a hash of its id, at a rate that leaves about ``per_language`` rows of
-    each language; a language of fewer rows gives all. Whole texts count. Over ``MAX_LANGUAGES``
-    languages are an error; no rows give a model without languages.
+    each language; a language of fewer rows gives all. Whole texts count, repeated rows as often as they stand;
+    how rows lie makes no difference. Over ``MAX_LANGUAGES`` languages are an error; no rows give a model
+    without languages.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
     sizes = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
@@ -92,24 +101,21 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     if not languages:
         return LanguageModel([], np.zeros((1 << BUCKET_BITS, 0), np.float32))
     rates = docs.sparkSession.createDataFrame([(r["lang"], languages.index(r["lang"]), min(1.0, per_language / r["count"])) for r in sizes], "lang string, label int, rate double")
-    sample = known.join(F.broadcast(rates), "lang").filter(uniform(F.lit(7), F.col("id")) < F.col("rate")).select("label", "text")
-    n = len(languages)
+    sample = known.join(small(rates, MAX_LANGUAGES), "lang").filter(uniform(F.lit(7), F.col("id")) < F.col("rate")).select("label", "text")
+    n, bits = len(languages), bucket_bits(len(languages))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n, 1 << BUCKET_BITS), np.int64)
+        total = np.zeros((n, 1 << bits), np.int64)
         for batch in batches:
             labels, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for lo, hi in runs(np.array([len(t) for t in texts]), CHUNK_CHARS):
-                flat, offsets = _lowered(texts[lo:hi])
-                for order in ORDERS:
-                    buckets = ngram_buckets(flat, order)
-                    own = np.repeat(labels[lo:hi], np.diff(offsets))[: len(buckets)]
-                    total += np.bincount(own * (1 << BUCKET_BITS) + buckets, minlength=n << BUCKET_BITS).reshape(n, -1)
+                for label, counts in zip(labels[lo:hi], bucket_counts(texts[lo:hi], bits), strict=True):
+                    total[label] += counts
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["cell", "n"])
 
     cells = sample.mapInArrow(tidy(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # buckets x languages at most
-    counts = np.full(n << BUCKET_BITS, SMOOTHING)
+    counts = np.full(n << bits, SMOOTHING)
     counts[cells["cell"].to_numpy()] += cells["n"].to_numpy()
     counts = counts.reshape(n, -1)
     return LanguageModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32).copy())
@@ -144,5 +150,5 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
 
 def fit_unheld(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """``fit`` on the rows that aren't held out."""
+    """``fit`` on the rows that aren't held out; a null id never is."""
     return fit(docs.filter(~held_out(id_col)), text_col, lang_col, id_col)
