@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -122,9 +123,9 @@ rules(action, rule, h, p) AS (VALUES ('block', 'net/', 'net', '/'), ('allow', 'e
 best AS (
   SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action
   FROM parts JOIN rules ON ('.' || host) LIKE ('%.' || h) AND starts_with(path, p) GROUP BY page_id)
-SELECT parts.page_id, host, coalesce(path, '') AS path, rule, coalesce(action, CASE
-  WHEN host LIKE '%bets%' OR host LIKE '%casino%' OR host LIKE '%pills%' OR host LIKE '%xxx%' OR host LIKE '%warez%'
-    OR path LIKE '%/wp-login.php' THEN 'block' ELSE 'allow' END) AS verdict
+SELECT parts.page_id, host, coalesce(path, '') AS path, rule,
+  coalesce(action, CASE WHEN regexp_full_match('.' || rtrim(regexp_replace(regexp_replace(host, '^.*@', '', 's'), ':[0-9]*$', ''), '.')
+    || translate(regexp_replace(coalesce(path, ''), '/+', '/', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{globs}', 's') THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN best USING (page_id)
 """
 
@@ -140,6 +141,12 @@ FROM nexts
 """
 
 
+def _glob_pattern(globs) -> str:
+    """The globs as one regular expression."""
+    parts = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "|".join("".join(parts.get(t, re.escape(t)) for t in re.findall(r"\*\*|.", g)) for g in globs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -156,4 +163,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op5_near_dedup": OP5_SQL, "op10_url_filter": OP10_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op5_near_dedup": OP5_SQL, "op10_url_filter": OP10_SQL.replace("{globs}", _glob_pattern(url_filter.GLOBS))}

@@ -219,7 +219,26 @@ def test_urls(spark):
         None: ("", "", None, "allow"), "nothing": ("", "", None, "allow"), "x://?a/b": ("", "", None, "allow"), "http://example.com/de/": ("example.com", "/de/", "example.com/de/", "block"),
         "http://notexample.com/de/": ("notexample.com", "/de/", None, "allow"), "a://b://net/c": ("b:", "//net/c", None, "allow"), "http://x.org/fr/a": ("x.org", "/fr/a", "org/fr/", "allow"),
         "http://best-casino.com/": ("best-casino.com", "/", None, "block"), "http://x.com/a/wp-login.php": ("x.com", "/a/wp-login.php", None, "block"),
+        "http://me@Ads.Shop.com.:80//A//b": ("me@ads.shop.com.:80", "//A//b", None, "block"), "http://x.com//Cart//1?q": ("x.com", "//Cart//1", None, "block"), "http://x.com/cart.html": ("x.com", "/cart.html", None, "allow"),
     }
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(given)], "page_id bigint, url string")
     got = rows_of(url_filter.judge_urls(pages).orderBy("page_id"), "host", "path", "rule", "verdict")
     assert got == list(given.values())
+
+
+def test_globs_from_a_file_and_url_sql(spark, tmp_path):
+    with open(tmp_path / "rules.txt", "w") as f:
+        f.write("# hosts\n*evil**\n\n  **/bad/?  \n")
+    globs = url_filter.read_globs(spark, str(tmp_path / "rules.txt"))
+    assert globs == ["*evil**", "**/bad/?"]
+    pages = spark.createDataFrame([(1, "http://evil.com"), (2, "http://a.com/x//Bad/z"), (3, "http://a.com/bad/zz")], "page_id bigint, url string")
+    assert [r.verdict for r in url_filter.judge_urls(pages, globs=globs).orderBy("page_id").collect()] == ["block", "block", "allow"]
+    assert [r.verdict for r in url_filter.judge_urls(pages, globs=()).orderBy("page_id").collect()] == ["allow"] * 3
+    import duckdb
+
+    odd = ["http://u@p@Bets.x.com:8/a", "http://x.com:/A//LOGIN", "http://t.co/1", "http://at.co/1", "x://a.exe", "http://a.b/c.ZIP", "http://a.b:1:2/\nx", None, "://", "http://..../cgi-bin//x"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT i AS page_id, u AS url FROM (SELECT unnest(?) AS i, unnest(?) AS u)", [list(range(len(odd))), odd])
+    want = sorted(con.sql(queries.oracle_sql()["op10_url_filter"]).fetchall())
+    df = spark.createDataFrame(list(enumerate(odd)), "page_id bigint, url string")
+    assert sorted(map(tuple, url_filter.judge_urls(df).collect()), key=lambda r: r[0]) == want
