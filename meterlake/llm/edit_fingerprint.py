@@ -227,42 +227,23 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_chars long, fingerprint string")
 
 
-def _bucket_links(least: float):
-    def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Links (u, v, likeness) that span each bucket's parts of likeness ``least``; columns bucket, bi, bj, fp, regs."""
-        bounds = near_dedup._groups(table, 3)
-        fps = table.column(3).to_numpy()
-        regs = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(-1, SAMPLES)
+def _prints_alike(least: float):
+    def alike_in(group: pa.Table):
+        """Likeness of fingerprints of at least ``least``; column regs."""
+        regs = np.frombuffer(b"".join(group.column(0).to_pylist()), np.uint8).reshape(-1, SAMPLES)
         full = np.zeros(1, bool)
-        lead = np.repeat(bounds[:-1], np.diff(bounds))
-        near = likeness(regs, regs[lead], full, full) >= least
-        whole = np.logical_and.reduceat(near, bounds[:-1])
-        members = np.repeat(whole, np.diff(bounds)) & (lead != np.arange(len(lead)))
-        u, v = [*np.flatnonzero(members)], [*lead[members]]
-        for g in np.flatnonzero(~whole & (np.diff(bounds) > 2)):
-            lo, hi = bounds[g], bounds[g + 1]
-            part = regs[lo:hi]
-            for i, j in near_dedup._spanning(hi - lo, lambda i: likeness(part, part[i], full, full) >= least):  # noqa: B023
-                u.append(lo + i)
-                v.append(lo + j)
-        u, v = np.array(u, np.int64), np.array(v, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(fps[u]), pa.array(fps[v]), pa.array(likeness(regs[u], regs[v], full, full))], names=["u", "v", "likeness"])
-
-    return links
+        return lambda i: likeness(regs, regs[i], full, full) >= least
 
+    return alike_in
 
-def loose_links(classes: DataFrame, least: float = LOOSE) -> DataFrame:
-    """(u, v, likeness) of classes (fp long, regs binary) that share a band, spanning the buckets' parts of likeness ``least``.
 
-    A part is held together by links of ``least`` or more; the likeness of a given link, from a member to the
-    part's first, may be less where others lie between.
-    """
+def loose_links(classes: DataFrame, least: float = LOOSE) -> DataFrame:
+    """(u, v) of classes (fp long, regs binary) that share a band, spanning the buckets' parts of likeness ``least``."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES // BAND - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * BAND + 1, F.lit(BAND))))
-    bands = classes.select("fp", F.explode(keys).alias("bucket"))
-    shared = small(cut(bands.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")), near_dedup.BROADCAST_ROWS)
-    rows = bands.join(shared, "bucket").join(classes, "fp").withColumn("blocks", F.ceil(F.col("size") / near_dedup.BUCKET_BLOCK))
-    dealt = near_dedup._dealt(near_dedup._blocked(rows, "bucket", "blocks"), "bucket").select("bucket", "bi", "bj", "fp", "regs")
-    return dealt.mapInArrow(tidy(near_dedup._streamed(3, _bucket_links(least))), "u long, v long, likeness double")
+    bands = classes.select("fp", F.explode(keys).alias("key"))
+    shared = small(cut(bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").drop("size")), near_dedup.BROADCAST_ROWS)
+    rows = bands.join(shared, "key").join(classes, "fp").select("key", "fp", "regs")
+    return near_dedup.spanning_links(rows, F.lit(1), near_dedup.BUCKET_BLOCK, _prints_alike(least))
 
 
 def window_set(text: str) -> np.ndarray:
@@ -271,18 +252,14 @@ def window_set(text: str) -> np.ndarray:
     return np.unique(window_hashes(flat, offsets)[: max(len(text) - Q + 1, 1)])
 
 
-def _text_links(percent: int):
-    exact = near_dedup._exact_links(percent)
+def _texts_alike(percent: int):
+    exact = near_dedup.exact_alike(percent)
 
-    def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Links of near texts; columns cluster, bi, bj, fp, text."""
-        bounds = near_dedup._groups(table, 3)
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            part = table.slice(lo, hi - lo)
-            sets = pa.array([window_set(t).tobytes() for t in part.column(4).to_pylist()], pa.large_binary())
-            yield from exact(part.set_column(4, "set", pa.chunked_array([sets])))
+    def alike_in(group: pa.Table):
+        """Likeness of texts by their windows; column text."""
+        return exact(pa.table({"set": pa.array([window_set(t).tobytes() for t in group.column(0).to_pylist()], pa.large_binary())}))
 
-    return links
+    return alike_in
 
 
 def _group_ids(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
@@ -292,12 +269,11 @@ def _group_ids(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
     classes = cut(own.groupBy("node").agg(F.max("fingerprint").alias("regs")).withColumnRenamed("node", "fp"))
     loose = components(loose_links(classes).select("u", "v"))
     labelled = texts.join(loose, "node", "left").withColumn("cluster", F.xxhash64(F.coalesce("component", "node"))).drop("component", "node")
-    sizes = labelled.groupBy("cluster").agg(F.ceil(F.sum("n") / CLUSTER_BLOCK).alias("blocks"), F.count("*").alias("members")).filter("members > 1").drop("members")
-    wanted = small(cut(labelled.join(sizes, "cluster").select("cluster", "blocks", F.col("text_md5").alias("fp"), F.col("id").alias("one"))), near_dedup.BROADCAST_ROWS)
+    sizes = labelled.groupBy("cluster").agg(F.count("*").alias("members")).filter("members > 1").drop("members")
+    wanted = small(cut(labelled.join(sizes, "cluster").select("cluster", F.col("text_md5").alias("fp"), F.col("id").alias("one"))), near_dedup.BROADCAST_ROWS)
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("md5"))
-    found = named.join(wanted, F.col("id").eqNullSafe(F.col("one")) & (F.col("md5") == F.col("fp"))).select("cluster", "blocks", "fp", "text")
-    dealt = near_dedup._dealt(near_dedup._blocked(found, "cluster", "blocks"), "cluster").select("cluster", "bi", "bj", "fp", "text")
-    linked = components(dealt.mapInArrow(tidy(near_dedup._streamed(3, _text_links(percent))), "u binary, v binary"))
+    found = named.join(wanted, F.col("id").eqNullSafe(F.col("one")) & (F.col("md5") == F.col("fp"))).select(F.col("cluster").alias("key"), "fp", "text").dropDuplicates(["key", "fp"])
+    linked = components(near_dedup.spanning_links(cut(found), F.length("text"), CLUSTER_BLOCK, _texts_alike(percent)))
     whole = cut(texts.join(linked.select(F.col("node").alias("text_md5"), "component"), "text_md5", "left").withColumn("label", F.coalesce("component", "text_md5")))
     least = whole.groupBy("label").agg(F.min("id").alias("least"), F.sum("docs").alias("size")).filter("size > 1").drop("size")
     return whole.join(least, "label").select("text_md5", "least")
@@ -307,12 +283,21 @@ def near_representatives(prints: DataFrame, id_col: str = "doc_id", least: float
     """Links (id, representative, likeness) that span the parts of like fingerprints; texts aren't read.
 
     Equal fingerprints are one class with its smallest id as member of the search. A class is linked with
-    one or more of smaller ids, found in its bands' buckets; empty texts aren't linked.
+    one or more others, found in its bands' buckets. A part is held together by links of ``least`` or more; the
+    likeness of a given link may be less where others lie between. Empty texts aren't linked, nor are null ids.
     """
-    named = prints.filter("n_chars > 0").select(F.col(id_col).alias("id"), "fingerprint")
+    named = prints.filter(f"n_chars > 0 and `{id_col}` is not null").select(F.col(id_col).alias("id"), "fingerprint")
     classes = cut(named.groupBy("fingerprint").agg(F.min("id").alias("rep")).withColumn("fp", F.xxhash64("fingerprint")))
-    found = loose_links(classes.select("fp", F.unhex("fingerprint").alias("regs")), least).groupBy("u", "v").agg(F.max("likeness").alias("likeness"))
-    reps = lambda side: classes.select(F.col("fp").alias(side), F.col("rep").alias(f"{side}_rep"))
-    pairs = found.join(reps("u"), "u").join(reps("v"), "v").select(F.greatest("u_rep", "v_rep").alias("id"), F.least("u_rep", "v_rep").alias("representative"), "likeness")
+    found = loose_links(classes.select("fp", F.unhex("fingerprint").alias("regs")), least).distinct()
+    side = lambda s: classes.select(F.col("fp").alias(s), F.col("rep").alias(f"{s}_rep"), F.unhex("fingerprint").alias(f"{s}_regs"))
+    pairs = found.join(side("u"), "u").join(side("v"), "v").select(F.greatest("u_rep", "v_rep").alias("id"), F.least("u_rep", "v_rep").alias("representative"), "u_regs", "v_regs")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SAMPLES) for i in (2, 3))
+            full = np.zeros(1, bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(likeness(a, b, full, full))], names=["id", "representative", "likeness"])
+
+    kind = prints.schema[id_col].dataType.simpleString()
     members = named.join(classes, "fingerprint").filter("id <> rep").select("id", F.col("rep").alias("representative"), F.lit(1.0).alias("likeness"))
-    return members.union(pairs)
+    return members.union(pairs.mapInArrow(tidy(compare), f"id {kind}, representative {kind}, likeness double"))

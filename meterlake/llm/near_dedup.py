@@ -12,8 +12,10 @@
    compared exactly, again giving links that span its parts.
 5. Components of the exact links are the groups.
 
-Large buckets and clusters are cut into blocks of bounded size and every pair of blocks goes to a task
-of its own, so no task holds a whole large group, and none of its pairs is lost.
+Large buckets and clusters are cut into blocks of bounded size (``spanning_links``). First each block is compared
+with the group's leader, whose row goes to all of them. What is like the leader needs no more looking at among
+itself; only what isn't goes to further tasks, each with a block of the rest and a block of the group. So a group
+of copies of one text costs as much as its size, no task holds a whole large group, and no pair is lost.
 
 With 24 bands of 4 registers, a pair of similarity 0.8 shares a bucket with probability over
 0.999996, and loose links lose one with a probability below 1e-5.
@@ -26,10 +28,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from meterlake.llm.common import LOWER, UPPER, cut, mix64, runs, tidy
+from meterlake.llm.common import LOWER, UPPER, cut, mix64, runs, small, tidy
 from meterlake.llm.components import components
 
 BANDS, ROWS = 24, 4
@@ -125,13 +128,14 @@ def loosely_similar(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
     return reach & (gain - larger * v * slope_of(x) / p(x) - smaller * u * slope_of(y) / p(y) >= 0)
 
 
-def _spanning(n: int, alike: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+def _spanning(n: int, alike: Callable[[int], np.ndarray], label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (member, first member) that span the parts of n items under ``alike(i)``: which items are like item i.
 
-    Pairs inside a part already found needn't be looked at; so items of the largest part are skipped, and the
-    rest is held against all.
+    Items of one ``label`` are linked already. Pairs inside a part already found needn't be looked at; so items of
+    the largest part are skipped, and the rest is held against all.
     """
-    label = np.arange(n)
+    label = np.arange(n) if label is None else label.copy()
+    before = label.copy()
     todo = np.ones(n, bool)
     while True:
         values, counts = np.unique(label, return_counts=True)
@@ -148,7 +152,9 @@ def _spanning(n: int, alike: Callable[[int], np.ndarray]) -> list[tuple[int, int
         found = np.unique(label[hit])
         if len(found) > 1:
             label[np.isin(label, found)] = found[0]
-    return [(int(i), int(label[i])) for i in np.flatnonzero(label != np.arange(n))]
+    changed = np.flatnonzero(label != before)
+    first = changed[np.unique(before[changed], return_index=True)[1]]  # one member of each part that was linked on
+    return [(int(i), int(label[i])) for i in first]
 
 
 def sketch(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -206,73 +212,112 @@ def _groups(table: pa.Table, key_columns: int) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
 
 
-def _links(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["u", "v"])
-
-
-def _bucket_links(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Loose links inside buckets; columns bucket, bi, bj, fp, n, regs."""
-    bounds = _groups(table, 3)
-    fps = table.column(3).to_pylist()
-    n = table.column(4).to_numpy().astype(np.float64)
-    regs = np.frombuffer(b"".join(table.column(5).to_pylist()), "<u2").reshape(-1, REGISTERS)
-    lead = np.repeat(bounds[:-1], np.diff(bounds))
-    near = loosely_similar(regs, regs[lead], n, n[lead])
-    whole = np.logical_and.reduceat(near, bounds[:-1])
-    members = np.repeat(whole, np.diff(bounds)) & (lead != np.arange(len(lead)))
-    out = [(fps[i], fps[lead[i]]) for i in np.flatnonzero(members)]
-    for g in np.flatnonzero(~whole & (np.diff(bounds) > 2)):
-        lo, hi = bounds[g], bounds[g + 1]
-        part, size = regs[lo:hi], n[lo:hi]
-        out += [(fps[lo + i], fps[lo + j]) for i, j in _spanning(hi - lo, lambda i: loosely_similar(part, part[i], size, size[i]))]  # noqa: B023
-    yield _links(out)
-
-
-def _exact_links(percent: int):
-    def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Links of sets with 100 * intersection >= percent * union; columns cluster, bi, bj, fp, set."""
-        bounds = _groups(table, 3)
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            rows = dict(zip(table.column(3).slice(lo, hi - lo).to_pylist(), table.column(4).slice(lo, hi - lo).to_pylist(), strict=True))
-            fps, sets = list(rows), [np.frombuffer(s, "<u8") for s in rows.values()]
-            sizes = np.array([len(s) for s in sets])
-            values, ids = np.unique(np.concatenate(sets), return_inverse=True)
-            ids, starts = ids.ravel(), np.concatenate([[0], np.cumsum(sizes)])
-            mark = np.zeros(len(values), np.int32)
+def _bucket_alike(group: pa.Table) -> Callable[[int], np.ndarray]:
+    """Loose likeness of sketches; columns n, regs."""
+    n = group.column(0).to_numpy().astype(np.float64)
+    regs = np.frombuffer(b"".join(group.column(1).to_pylist()), "<u2").reshape(-1, REGISTERS)
+    return lambda i: loosely_similar(regs, regs[i], n, n[i])
+
 
-            def alike(i: int) -> np.ndarray:
-                own = ids[starts[i] : starts[i + 1]]  # noqa: B023
-                mark[own] = 1  # noqa: B023
-                common = np.add.reduceat(mark[ids], starts[:-1])  # noqa: B023
-                mark[own] = 0  # noqa: B023
-                return 100 * common >= percent * (sizes + sizes[i] - common)  # noqa: B023
+def exact_alike(percent: int) -> Callable[[pa.Table], Callable[[int], np.ndarray]]:
+    """Exact likeness of sets: 100 * intersection >= percent * union; column set."""
 
-            yield _links([(fps[i], fps[j]) for i, j in _spanning(len(fps), alike)])
+    def alike_in(group: pa.Table) -> Callable[[int], np.ndarray]:
+        sets = [np.frombuffer(s, "<u8") for s in group.column(0).to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        ids, starts = ids.ravel(), np.concatenate([[0], np.cumsum(sizes)])
+        mark = np.zeros(len(values), np.int32)
 
-    return links
+        def alike(i: int) -> np.ndarray:
+            own = ids[starts[i] : starts[i + 1]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[ids], starts[:-1])
+            mark[own] = 0
+            return 100 * common >= percent * (sizes + sizes[i] - common)
 
+        return alike
 
-def _blocked(rows: DataFrame, key: str, blocks: str) -> DataFrame:
-    """Rows with bi, bj: a group of one block keeps (0, 0); of several, a row goes to every pair that has its block."""
-    own = F.pmod(F.xxhash64("fp"), F.col(blocks))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1), lambda j: F.struct(F.least(j, own).alias("bi"), F.greatest(j, own).alias("bj")))
-    return rows.withColumn("b", F.explode(pairs)).withColumns({"bi": F.col("b.bi"), "bj": F.col("b.bj")}).drop("b", blocks)
+    return alike_in
 
 
-def _dealt(rows: DataFrame, key: str) -> DataFrame:
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, key, "bi", "bj").sortWithinPartitions(key, "bi", "bj", "fp")
+def spanning_links(rows: DataFrame, weight: Column, block: int, alike_in: Callable[[pa.Table], Callable[[int], np.ndarray]]) -> DataFrame:
+    """Links (u, v) that span the alike parts of each group of ``rows`` (key long, fp, what ``alike_in`` needs); ``fp`` is unique in a group.
+
+    A block has rows of about ``block`` in the sum of ``weight``. ``alike_in`` gets the last columns of a group's rows and
+    says which are like its i-th. Groups of one row give no link, no rows give none.
+    """
+    payload = rows.columns[2:]
+    kind = rows.schema["fp"].dataType
+    arrow_kind, spark = to_arrow_type(kind), rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = rows.groupBy("key").agg(F.ceil(F.sum(weight) / block).alias("blocks"), F.min("fp").alias("lead"), F.count("*").alias("members")).filter("members > 1").drop("members")
+    known = rows.join(small(cut(groups), BROADCAST_ROWS), "key")
+    own = lambda blocks: F.pmod(F.xxhash64("fp"), F.col(blocks))
+    every = lambda blocks: F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)
+
+    def batch(us: list, vs: list, keys: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(us, arrow_kind), pa.array(vs, arrow_kind), pa.array(keys, pa.int64())], names=["u", "v", "key"])
+
+    def by_leader(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Columns key, b, blocks, fp, payload; the leader comes first. Rows unlike it are given back with their group's key."""
+        bounds, fps, us, vs, keys = _groups(table, 2), table.column(3).to_pylist(), [], [], []
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if hi - lo < 2:
+                continue
+            alike = alike_in(table.slice(lo, hi - lo).select(range(4, table.num_columns)))
+            if table.column(2)[lo].as_py() == 1:
+                links = _spanning(hi - lo, alike)
+                us += [fps[lo + i] for i, _ in links]
+                vs += [fps[lo + j] for _, j in links]
+                keys += [None] * len(links)
+            else:
+                near = alike(0)
+                us += fps[lo + 1 : hi]
+                vs += [fps[lo] if x else None for x in near[1:]]
+                keys += [None if x else table.column(0)[lo].as_py() for x in near[1:]]
+        yield batch(us, vs, keys)
+
+    places = F.when(F.col("fp") == F.col("lead"), every("blocks")).otherwise(F.array(own("blocks")))
+    dealt = known.withColumn("b", F.explode(places)).repartition(n, "key", "b").sortWithinPartitions("key", "b", F.col("fp") != F.col("lead"), "fp")
+    schema = f"u {kind.simpleString()}, v {kind.simpleString()}, key long"
+    found = cut(dealt.select("key", "b", "blocks", "fp", *payload).mapInArrow(tidy(_streamed(2, by_leader)), schema))
+    links, rest = found.filter("v is not null").select("u", "v"), found.filter("v is null").select("key", F.col("u").alias("fp"), F.lit(True).alias("free"))
+    if rest.isEmpty():
+        return links
+
+    def by_rest(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Columns key, bi, bj, fp, free, payload: a block of a group with a block of its rest; rows that aren't free are linked already."""
+        bounds, fps, free, us, vs = _groups(table, 3), table.column(3).to_pylist(), table.column(4).to_numpy(zero_copy_only=False), [], []
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            at = [i for i in range(lo, hi) if i == lo or fps[i] != fps[i - 1]]  # a row of the rest may stand in both blocks
+            alike = alike_in(table.take(at).select(range(5, table.num_columns)))
+            first = next((k for k, i in enumerate(at) if not free[i]), 0)
+            label = np.array([k if free[i] else first for k, i in enumerate(at)])
+            links = _spanning(len(at), alike, label)
+            us += [fps[at[i]] for i, _ in links]
+            vs += [fps[at[j]] for _, j in links]
+        yield batch(us, vs, [None] * len(us))
+
+    rest = small(rest, BROADCAST_ROWS)
+    marked = known.join(small(rest.select("key").distinct(), BROADCAST_ROWS), "key", "left_semi").join(rest, ["key", "fp"], "left").withColumn("free", F.coalesce("free", F.lit(False)))
+    of_rest = marked.filter("free")
+    sizes = of_rest.groupBy("key").agg(F.ceil(F.sum(weight) / block).alias("rest_blocks"))
+    marked, of_rest = (x.join(small(sizes, BROADCAST_ROWS), "key") for x in (marked, of_rest))
+    columns = ["key", "bi", "bj", "fp", "free", *payload]
+    pairs = marked.withColumns({"bi": own("blocks"), "bj": F.explode(every("rest_blocks"))}).select(columns).unionByName(of_rest.withColumns({"bj": own("rest_blocks"), "bi": F.explode(every("blocks"))}).select(columns))
+    dealt = pairs.repartition(n, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "fp")
+    return links.unionByName(dealt.mapInArrow(tidy(_streamed(3, by_rest)), schema).select("u", "v"))
 
 
 def loose_clusters(classes: DataFrame) -> DataFrame:
     """(node, component) of classes (fp, n, regs) under loose links between those that share a bucket."""
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * width + 1, F.lit(width))))
-    bands = classes.select("fp", F.explode(keys).alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = bands.join(shared, "bucket").join(classes, "fp").withColumn("blocks", F.ceil(F.col("size") / BUCKET_BLOCK))
-    dealt = _dealt(_blocked(rows, "bucket", "blocks"), "bucket").select("bucket", "bi", "bj", "fp", "n", "regs")
-    return components(dealt.mapInArrow(tidy(_streamed(3, _bucket_links)), "u binary, v binary"))
+    bands = classes.select("fp", F.explode(keys).alias("key"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").drop("size")
+    rows = bands.join(shared, "key").join(classes, "fp").select("key", "fp", "n", "regs")
+    return components(spanning_links(rows, F.lit(1), BUCKET_BLOCK, _bucket_alike))
 
 
 def exact_components(docs: DataFrame, reps: DataFrame, k: int, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -292,9 +337,8 @@ def exact_components(docs: DataFrame, reps: DataFrame, k: int, id_col: str, text
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     found = rows.join(wanted, rows.id.eqNullSafe(wanted.id) & (rows.row == wanted.row)).select(F.xxhash64("cluster").alias("cluster"), "fp", "text")
     sets = cut(found.mapInArrow(tidy(run), "cluster long, fp binary, n long, set binary"))
-    sizes = sets.groupBy("cluster").agg(F.ceil(F.sum("n") / CLUSTER_BLOCK).alias("blocks"), F.count("*").alias("members")).filter("members > 1")
-    dealt = _dealt(_blocked(sets.join(sizes, "cluster"), "cluster", "blocks"), "cluster").select("cluster", "bi", "bj", "fp", "set")
-    return components(dealt.mapInArrow(tidy(_streamed(3, _exact_links(percent))), "u binary, v binary"))
+    rows = sets.select(F.col("cluster").alias("key"), "fp", "set")
+    return components(spanning_links(rows, F.length("set") / 8, CLUSTER_BLOCK, exact_alike(percent)))
 
 
 def group_rows(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
