@@ -45,6 +45,8 @@ LOOSE = 0.6
 PERCENT = 80
 #: A bucket is cut into blocks of about so many classes, a cluster into blocks of so many shingles.
 BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 1 << 20
+#: Elements of a set of middle size that share a bin, where sets are compared by their bins first.
+SET_BIN = 4
 BROADCAST_ROWS = 500_000
 CHUNK_CHARS = 500_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -220,21 +222,34 @@ def _bucket_alike(group: pa.Table) -> Callable[[int], np.ndarray]:
 
 
 def exact_alike(percent: int) -> Callable[[pa.Table], Callable[[int], np.ndarray]]:
-    """Exact likeness of sets: 100 * intersection >= percent * union; column set."""
+    """Exact likeness of sets: 100 * intersection >= percent * union; column set, none of them empty.
+
+    Sets are counted by bins of their hashes. Two sets have at most the sum of the bins' smaller counts in common, so a pair
+    whose sizes or bins can't reach ``percent`` is settled; only the others' elements are compared.
+    """
 
     def alike_in(group: pa.Table) -> Callable[[int], np.ndarray]:
         sets = [np.frombuffer(s, "<u8") for s in group.column(0).to_pylist()]
-        sizes = np.array([len(s) for s in sets])
-        values, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        ids, starts = ids.ravel(), np.concatenate([[0], np.cumsum(sizes)])
-        mark = np.zeros(len(values), np.int32)
+        sizes, flat = np.array([len(s) for s in sets]), np.concatenate(sets)
+        starts = np.cumsum(sizes) - sizes
+        bins = 1 << max(int(np.log2(len(flat) / len(sets) / SET_BIN)), 3)
+        place = np.repeat(np.arange(len(sets)) * bins, sizes) + (flat & np.uint64(bins - 1)).astype(np.int64)
+        counts = np.bincount(place, minlength=len(sets) * bins).astype(np.float32).reshape(-1, bins)
+
+        def enough(at: np.ndarray, i: int, common: np.ndarray) -> np.ndarray:
+            return 100 * common >= percent * (sizes[at] + sizes[i] - common)
 
         def alike(i: int) -> np.ndarray:
-            own = ids[starts[i] : starts[i + 1]]
-            mark[own] = 1
-            common = np.add.reduceat(mark[ids], starts[:-1])
-            mark[own] = 0
-            return 100 * common >= percent * (sizes + sizes[i] - common)
+            at = np.flatnonzero(100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+            at = at[enough(at, i, np.minimum(counts[at], counts[i]).sum(axis=1).astype(np.int64))]
+            ends = np.cumsum(sizes[at])
+            firsts = ends - sizes[at]
+            elements = flat[np.repeat(starts[at] - firsts, sizes[at]) + np.arange(ends[-1])]
+            own = sets[i]
+            found = own[np.minimum(np.searchsorted(own, elements), len(own) - 1)] == elements
+            out = np.zeros(len(sets), bool)
+            out[at] = enough(at, i, np.add.reduceat(found.astype(np.int64), firsts))
+            return out
 
         return alike
 
