@@ -105,3 +105,23 @@ def test_sketches_merge_by_maxima():
     values = np.arange(1, 5000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     a, b, both = near.set_sketches([values[:3000], values[2000:], values])
     assert (np.maximum(a, b) == both).all()
+
+
+def test_exact_likeness_loses_no_pair():
+    import numpy as np
+    import pyarrow as pa
+
+    from meterlake.llm.near_dedup import exact_alike
+
+    random = np.random.default_rng(1)
+    draw = lambda n: random.integers(0, 2**64, n, dtype=np.uint64)
+    for _ in range(10):
+        bases = [np.unique(draw(random.integers(1, 300))) for _ in range(6)]
+        sets = []
+        for k in range(60):
+            base = bases[k % 6]
+            kept = base[random.random(len(base)) < random.uniform(0.75, 1)]
+            sets.append(np.unique(np.concatenate([kept if len(kept) else base, draw(random.integers(0, 1 + len(base) // 8))])))
+        alike = exact_alike(80)(pa.table({"set": pa.array([s.tobytes() for s in sets], pa.large_binary())}))
+        for i, own in enumerate(sets):
+            assert alike(i).tolist() == [100 * len(np.intersect1d(s, own)) >= 80 * len(np.union1d(s, own)) for s in sets]
