@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import bpe, edit_fingerprint, language_id, line_dedup, mixing, near_dedup, quality_rules, token_counts, toxicity, url_filter
+from meterlake.llm import bpe, centroids, edit_fingerprint, jaccard_join, language_id, line_dedup, mixing, near_dedup, quality_rules, ranked_search, token_counts, toxicity, url_filter
 from meterlake.llm.common import cut, held_out, remove, shared_dir
 
 
@@ -81,6 +81,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = cut(ranked_search.build_index(_table(spark, sf_dir, "documents")))
+    best = ranked_search.search(index, _table(spark, sf_dir, "benchmark"), k=10)
+    return best.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=85)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed="2:", size=64)
+
+
 OP2_SQL = r"""
 WITH cut AS (
   SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos
@@ -141,6 +155,53 @@ FROM nexts
 """
 
 
+#: The same links at 0.85, without the column kept.
+OP12_SQL = OP5_SQL.replace("100 * c >= 80 *", "100 * c >= 85 *").replace(", d.doc_id <= coalesce(m, d.doc_id) AS kept", "")
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM docs WHERE len(ts) > 0),
+lengths AS (SELECT doc_id, (10 + (90 * len(ts)::BIGINT * n_docs) // n_terms)::BIGINT AS m FROM docs, totals WHERE len(ts) > 0),
+postings AS (SELECT t, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS t FROM docs) WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+weights AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, totals GROUP BY t, n_docs),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN postings USING (t) JOIN weights USING (t) JOIN lengths USING (doc_id) GROUP BY ALL),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def _op13_sql(k: int = 40, rounds: int = 5, size: int = 64) -> str:
+    """Rounds as a chain of tables: assigned (nearest centroid, smaller numbers first), then means by cluster."""
+    nearest = (
+        "a{r} AS (SELECT vec_id, v, arg_min(c, d * {k} + c) AS c, min(d) AS d FROM "
+        "(SELECT vec_id, v, c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM whole, c{r}) GROUP BY vec_id, v)"
+    )
+    means = (
+        "s{r} AS (SELECT c, pos, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(1, {size} + 1)) AS pos FROM a{r}) GROUP BY c, pos), "
+        "m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS m FROM s{r} GROUP BY c), "
+        "c{next} AS (SELECT c, coalesce(m{r}.m, c{r}.m) AS m FROM c{r} LEFT JOIN m{r} USING (c))"
+    )
+    parts = [
+        f"kept AS (SELECT vec_id, embedding AS e FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size})",
+        "whole AS MATERIALIZED (SELECT vec_id, list_transform(e, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM kept)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM (SELECT sha256('2:' || vec_id) AS h, v FROM whole ORDER BY h LIMIT {k}))",
+    ]
+    for r in range(rounds):
+        parts += [nearest.format(r=r, k=k).replace(" AS (", " AS MATERIALIZED (", 1), means.format(r=r, next=r + 1, size=size)]
+    parts.append(nearest.format(r=rounds, k=k))
+    return (
+        f"WITH {', '.join(parts)} SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, "
+        f"sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (c)"
+    )
+
+
 def _glob_pattern(globs) -> str:
     """The globs as one regular expression."""
     parts = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
@@ -159,8 +220,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_edit_fingerprint": op9_edit_fingerprint,
         "op10_url_filter": op10_url_filter,
+        "op11_ranked_search": op11_ranked_search,
+        "op12_jaccard_join": op12_jaccard_join,
+        "op13_centroids": op13_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op5_near_dedup": OP5_SQL, "op10_url_filter": OP10_SQL.replace("{globs}", _glob_pattern(url_filter.GLOBS))}
+    return {"op2_line_dedup": OP2_SQL, "op5_near_dedup": OP5_SQL, "op10_url_filter": OP10_SQL.replace("{globs}", _glob_pattern(url_filter.GLOBS)), "op11_ranked_search": OP11_SQL, "op12_jaccard_join": OP12_SQL, "op13_centroids": _op13_sql()}
