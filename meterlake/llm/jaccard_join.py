@@ -83,6 +83,7 @@ def metric_alike(percent: int) -> Callable[[pa.Table], Callable[[int], np.ndarra
         def alike(i: int) -> np.ndarray:
             near = np.flatnonzero((np.abs(away - away[i]) <= reach).all(axis=1))
             out = np.zeros(len(sets), bool)
+            out[i] = True
             if len(near) > 1:
                 own = int(np.searchsorted(near, i))
                 out[near] = exact(group.take(pa.array(near)))(own) if len(near) < len(sets) // 4 else whole()(i)[near]
