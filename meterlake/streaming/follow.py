@@ -11,13 +11,13 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from meterlake.sources.logs import file_order_of, trimmed
 from meterlake.streaming.tail import SCHEMA, tail
 
 #: Of the table's columns and the offsets' form.
-VERSION = 2
+VERSION = 3
 
 
 def append_lines(lines: DataFrame, table: str, checkpoint: str, seconds: int | None = None) -> StreamingQuery:
@@ -29,6 +29,11 @@ def append_lines(lines: DataFrame, table: str, checkpoint: str, seconds: int | N
     returned is the last run, ended.
     """
     writer = lines.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint)
+    return run_until_read(writer, seconds)
+
+
+def run_until_read(writer: DataStreamWriter, seconds: int | None = None) -> StreamingQuery:
+    """Start a stream of ``tail``'s lines as ``append_lines`` says."""
     if seconds:
         return writer.trigger(processingTime=f"{seconds} seconds").start()
     goal = None
@@ -44,12 +49,14 @@ def append_lines(lines: DataFrame, table: str, checkpoint: str, seconds: int | N
 
 def _reached(query: StreamingQuery) -> tuple[bool, dict[str, int]]:
     """Whether an ended run read anything, and how far each file is read; empty for another source than ``tail``."""
-    for progress in reversed(query.recentProgress):
-        source = json.loads(progress.json)["sources"][0]
-        end = source["endOffset"]
-        if source["startOffset"] != source["endOffset"] and isinstance(end, dict) and "files" in end:
-            return True, {path: at for path, (_, at, _) in json.loads(end["files"]).items()}
-    return False, {}
+    moved, reached = False, {}
+    for progress in query.recentProgress:
+        for source in json.loads(progress.json)["sources"]:
+            end = source["endOffset"]
+            if source["startOffset"] != end and isinstance(end, dict) and "files" in end:
+                moved = True
+                reached |= {path: at for path, (_, at, _) in json.loads(end["files"]).items()}
+    return moved, reached
 
 
 def follow(spark: SparkSession, logs: str, folder: str, seconds: int | None = None, **options) -> StreamingQuery:
@@ -80,7 +87,7 @@ def current_lines(spark: SparkSession, table: str, provisional: DataFrame | None
 def as_lines(rows: DataFrame, tool: str, root_order: int = 0) -> DataFrame:
     """Lines of ``log_tail`` as the readers take them: a line's place is its first byte."""
     order = file_order_of(F.lit(root_order), F.col("rel"))
-    return trimmed(rows.select(F.lit(tool).alias("tool"), order.alias("file_order"), "path", "rel", F.lit(0).cast("bigint").alias("mtime_ms"), F.col("start").alias("line_no"), "line"))
+    return trimmed(rows.select(F.lit(tool).alias("tool"), order.alias("file_order"), "path", "rel", "mtime_ms", F.col("start").alias("line_no"), "line"))
 
 
 def daily_sums(events: DataFrame, timezone: str = "UTC") -> DataFrame:

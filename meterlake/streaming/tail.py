@@ -12,6 +12,7 @@ readable where tasks run (a folder that all nodes mount).
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 from collections.abc import Iterator
@@ -19,14 +20,17 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-SCHEMA = "path string, rel string, generation long, start long, line string, provisional boolean"
+SCHEMA = "path string, rel string, generation long, start long, line string, provisional boolean, mtime_ms long"
 #: A task reads the lines that begin in so many bytes of a file.
 PIECE_BYTES = 32 << 20
 _STEP = 1 << 16
 
 
 class LogTail(DataSource):
-    """Options: path, suffix (``.jsonl``), maxBytesPerBatch (all that is there), pieceBytes; as a batch it reads all lines, unfinished ones too."""
+    """Options: path, suffix (``.jsonl``), maxBytesPerBatch (all that is there), progressive, pieceBytes; as a batch it reads all lines, unfinished ones too.
+
+    ``progressive`` lets batches grow: the first has maxBytesPerBatch (32 MB), each later one three times what was read so far and as much again.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -47,6 +51,15 @@ def found_files(root: str, suffix: str) -> list[str]:
     return sorted(out)
 
 
+def stamps(root: str, suffix: str) -> list[tuple[str, os.stat_result]]:
+    """Files and their facts now; those that vanish meanwhile are left out."""
+    out = []
+    for path in found_files(root, suffix):
+        with contextlib.suppress(FileNotFoundError):
+            out.append((path, os.stat(path)))
+    return out
+
+
 def last_line_end(path: str, start: int, end: int) -> int:
     """Where the last whole line in [start, end) ends; ``start`` if none does."""
     with open(path, "rb") as f:
@@ -91,7 +104,8 @@ def read_piece(p: Piece, unfinished: bool = False) -> Iterator[tuple]:
     except FileNotFoundError:
         return
     with f:
-        if os.fstat(f.fileno()).st_ino != p.inode:
+        facts = os.fstat(f.fileno())
+        if facts.st_ino != p.inode:
             return
         at = p.start
         if at > p.begin:  # a line that begins before the piece is its neighbour's
@@ -106,7 +120,7 @@ def read_piece(p: Piece, unfinished: bool = False) -> Iterator[tuple]:
                 return
             text = line.rstrip(b"\r\n").decode("utf-8", "replace")
             if text.strip():
-                yield (p.path, p.rel, p.generation, at, text, not whole)
+                yield (p.path, p.rel, p.generation, at, text, not whole, facts.st_mtime_ns // 1_000_000)
             at += len(line)
 
 
@@ -119,17 +133,23 @@ class _Stream(DataSourceStreamReader):
 
     def __init__(self, options: dict):
         self.root, self.suffix = options["path"], options.get("suffix", ".jsonl")
-        self.most = int(options.get("maxBytesPerBatch", 0))
+        self.grows = options.get("progressive", "false").lower() == "true"
+        self.most = int(options.get("maxBytesPerBatch", PIECE_BYTES if self.grows else 0))
         self.piece = int(options.get("pieceBytes", PIECE_BYTES))
         self.known: dict[str, list[int]] = {}
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
+    def budget(self) -> float:
+        """Bytes of the next batch. Growing ones are four times the one before: sizes so far sum to a third of the next, less the first."""
+        if not self.grows:
+            return self.most or float("inf")
+        return self.most + 3 * sum(at for _, at, _ in self.known.values())
+
     def latestOffset(self) -> dict:
-        found, left = [], self.most or float("inf")
-        for path in found_files(self.root, self.suffix):
-            stat = os.stat(path)
+        found, left = [], self.budget()
+        for path, stat in stamps(self.root, self.suffix):
             inode, at, generation = self.known.get(path, [stat.st_ino, 0, 0])
             if inode != stat.st_ino or stat.st_size < at:
                 inode, at, generation = stat.st_ino, 0, generation + 1
@@ -149,11 +169,12 @@ class _Stream(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Piece]:
         first, last = json.loads(start["files"]), json.loads(end["files"])
         self.known = self.known or last
+        ages = {path: stat.st_mtime_ns for path, stat in stamps(self.root, self.suffix)}
         out = []
         for path, (inode, upto, generation) in last.items():
             was = first.get(path, [inode, 0, 0])
             begin = was[1] if was[2] == generation else 0
-            age = -os.stat(path).st_mtime_ns if os.path.exists(path) else 0
+            age = -ages.get(path, 0)
             out += [(age, path, p.start, p) for p in pieces(path, os.path.relpath(path, self.root), generation, begin, upto, inode, self.piece)]
         return [p for *_, p in sorted(out, key=lambda x: x[:3])] or [Piece("", "", 0, 0, 0, 0, 0)]
 
@@ -171,8 +192,7 @@ class _Batch(DataSourceReader):
 
     def partitions(self) -> list[Piece]:
         out = []
-        for path in found_files(self.root, self.suffix):
-            stat = os.stat(path)
+        for path, stat in stamps(self.root, self.suffix):
             out += pieces(path, os.path.relpath(path, self.root), 0, 0, stat.st_size, stat.st_ino, self.piece)
         return out or [Piece("", "", 0, 0, 0, 0, 0)]
 
