@@ -256,10 +256,10 @@ def day_shares(days: DataFrame) -> DataFrame:
     return days.select("date", cache.alias("cache_share"), *[ratio(F.col(t), whole).alias(f"{t}_share") for t in TOOLS])
 
 
-def detail_levels(streaks: DataFrame, size: int) -> DataFrame:
+def detail_levels(streaks: DataFrame, size: int, lit_days: bool = False) -> DataFrame:
     """Dense days before today in buckets of ``size`` aligned to the newest: days, mean tokens, mean share of the goal (at most 2.5), the majority state.
 
-    Today stands alone as bucket -1.
+    Today stands alone as bucket -1. ``lit_days`` adds the number of met days.
     """
     w = Window.partitionBy().orderBy(F.desc("date"))
     rows = streaks.withColumn("back", F.row_number().over(w) - 2)
@@ -268,7 +268,7 @@ def detail_levels(streaks: DataFrame, size: int) -> DataFrame:
     reach = F.least(F.lit(2.5), F.greatest(F.lit(0.0), ratio(F.col("total"), F.col("goal"))))
     out = rows.groupBy("bucket").agg(F.min("date").alias("since"), F.max("date").alias("until"), F.count("*").alias("days"), F.avg("total").alias("tokens"), F.avg(reach).alias("reach"), *[F.count_if(state == k).alias(f"n{k}") for k in range(3)])
     kind = F.when((F.col("n2") >= F.col("n1")) & (F.col("n2") >= F.col("n0")), "lit").when(F.col("n1") >= F.col("n0"), "bridge").otherwise("dark")
-    return out.select("bucket", "since", "until", "days", "tokens", "reach", kind.alias("kind"))
+    return out.select("bucket", "since", "until", "days", "tokens", "reach", kind.alias("kind"), *([F.col("n2").alias("lit_days")] if lit_days else []))
 
 
 def tier(streak: Column) -> Column:

@@ -60,6 +60,12 @@ def next_reminder(config: Config, now_minute: Column, sent_today: Column) -> Col
     return F.when(F.lit(config.notifications.streak_at_risk) & ~sent_today & (target > now_minute), target)
 
 
+def ms_until_reminder(config: Config, now_utc: Column, sent_today: Column) -> Column:
+    """Milliseconds from a UTC wall time to ``next_reminder``'s minute; null if there is none today."""
+    now = times.minute_of_day(times.local_time(now_utc, config.timezone))
+    return times.ms_until_minute(now_utc, next_reminder(config, now, sent_today), config.timezone)
+
+
 def texts(due_rows: DataFrame) -> DataFrame:
     """Notices as rows: date, kind, text."""
     days = lambda n: F.concat(n.cast("string"), F.when(n == 1, F.lit(" day")).otherwise(F.lit(" days")))

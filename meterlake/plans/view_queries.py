@@ -12,8 +12,9 @@ from meterlake.operators import daily as D
 from meterlake.operators import goals as G
 from meterlake.operators import insights as I
 from meterlake.plans.registry import query
-from meterlake.plans.usage_queries import _WEEK_SQL, DAY_SQL, E_SQL, FREEZE_SQL, GOAL_SQL, GOALS, L_SQL, PLAIN_SQL, dense_days, ledger, streak_rows
+from meterlake.plans.usage_queries import _WEEK_SQL, DAY_SQL, E_SQL, FREEZE_SQL, GOAL_SQL, GOALS, L_SQL, PLAIN_SQL, REST, dense_days, ledger, streak_rows
 from meterlake.sources.adapters import usage_from_events, usage_from_lineitem
+from meterlake.sources.bronze import keep
 
 COUNTS = "CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cache_write) AS BIGINT) AS cache_write, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(total) AS BIGINT) AS total"
 RANGE = (date(1998, 1, 1), date(1998, 12, 31))
@@ -180,8 +181,10 @@ SELECT id, won AS unlocked_at, round(CASE WHEN won IS NOT NULL THEN target ELSE
 
 @query("achievements", f"WITH RECURSIVE {DAY_SQL}, {GOAL_SQL}, {FREEZE_SQL}, {_WEEK_SQL}, {_ACH_SQL}")
 def achievements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weeks = G.judged_weeks(dense_days(spark, sf_dir), G.goal_table(spark, GOALS))
-    rows = I.achievements(D.daily(ledger(spark, sf_dir)), streak_rows(spark, sf_dir, freezes=True), weeks)
+    days = keep(D.daily(ledger(spark, sf_dir)))  # a row a day, read by all that follows
+    dense, table = D.dense(days), G.goal_table(spark, GOALS)
+    streaks = keep(G.with_streaks(G.judged_days(dense, table, REST), True))
+    rows = I.achievements(days, streaks, G.judged_weeks(streaks.select(*dense.columns), table))
     return rows.select("id", "unlocked_at", F.round("progress", 6).alias("progress"))
 
 
