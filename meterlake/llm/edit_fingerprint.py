@@ -6,11 +6,13 @@ function of j and the window says; so every character lies in some emitted windo
 an edit two walks soon meet again at the same place at the same step, and from then on emit the
 same: texts at a small edit distance have embeddings at a small Hamming distance.
 
-Near texts are found in three steps. Bands of samples are hashed to buckets, and inside a bucket links
-span the parts of like fingerprints, never their pairs; large buckets are cut into blocks, and every pair of
-blocks is compared. The links join into clusters. In a cluster the texts themselves decide: two are near if
-their sets of Q-character windows have ``PERCENT`` of their union in common, which each edit changes by at
-most Q windows. Groups are the components of near texts.
+A walk from a text's beginning may stay apart for long after words or lines were put in or left out. So near texts
+are found by short walks from many places that both texts know: windows are dealt to ``BINS`` bins by their hash, and the window of
+least hash in a bin is an anchor, from which the shared walk emits the samples of one band. Near texts have most anchors in
+common, and from each the same samples up to the next edit. Bands are hashed to buckets, and inside a bucket links
+span the parts of texts that have ``LOOSE_ANCHORS`` of their anchors in common, never their pairs; large buckets are cut into blocks. The links join
+into clusters. In a cluster the texts themselves decide: two are near if their sets of Q-character windows have ``PERCENT`` of their union in
+common, which each edit changes by at most Q windows. Groups are the components of near texts.
 
 The fingerprint samples the embedding's coordinates: sample k reads step jump(k, number of steps),
 a consistent hash, so texts of nearly the same number of steps read the same steps. The share of
@@ -42,6 +44,10 @@ CHUNK_CHARS = 3_000_000
 BAND = 3
 #: Fingerprints of a smaller likeness are no candidates; of 1,000 pairs of other texts 999 are below 0.04.
 LOOSE = 0.1
+#: Bins of windows, each with an anchor; and the steps behind an anchor that a band samples, two bytes each.
+BINS, STEPS = 32, (0, 1, 3, 6)
+#: Texts that have a smaller share of anchors in common are no candidates; at 80 % of common windows it is 0.8, with a deviation of 0.07.
+LOOSE_ANCHORS = 0.5
 #: Texts are near from this share of common windows on.
 PERCENT = 80
 #: A cluster is cut into blocks of about so many characters.
@@ -64,20 +70,49 @@ def window_hashes(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix64(h)
 
 
-def walk(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Emitted bytes, each text's from its offset on, and (offset, number of steps) of each text."""
+def stride(here: np.ndarray, j: int) -> np.ndarray:
+    """How far the shared walk moves at step j from windows of the hashes ``here``: 1 to Q characters."""
+    key = (here ^ np.uint64((SEED * (2 * j + 1)) & (2**64 - 1))) * np.uint64(0xD6E8FEB86659FD93)
+    return 1 + (key >> np.uint64(61)).astype(np.int64)
+
+
+def anchored(offsets: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: the bands of its anchors (BINS x STEPS, 16 bits; 0 without one), and a byte for each anchor's window (0 without one)."""
+    n, size = len(offsets) - 1, len(hashes)
+    text = np.repeat(np.arange(n), np.diff(offsets))
+    left = offsets[1:][text] - np.arange(size)
+    whole = np.flatnonzero((left >= Q) | (np.arange(size) == offsets[:-1][text]))  # a text shorter than a window is one
+    place = text[whole] * BINS + (hashes[whole] >> np.uint64(59)).astype(np.int64)
+    least = np.full(n * BINS, 2**64 - 1, np.uint64)
+    np.minimum.at(least, place, hashes[whole])
+    first = np.flatnonzero(hashes[whole] == least[place])[::-1]
+    at = np.full(n * BINS, -1, np.int64)
+    at[place[first]] = whole[first]  # of a window that comes again the first place
+    bands, live = np.zeros((n * BINS, len(STEPS)), np.uint16), np.flatnonzero(at >= 0)
+    end = np.repeat(offsets[1:], BINS)
+    tags = np.zeros(n * BINS, np.uint8)
+    tags[live] = 1 + (hashes[at[live]] >> np.uint64(16)).astype(np.int64) % 255
+    for j in range(STEPS[-1] + 1):
+        here = hashes[at[live]]
+        if j in STEPS:
+            bands[live, STEPS.index(j)] = (here >> np.uint64(32)).astype(np.uint16) | np.uint16(1)
+        at[live] += stride(here, j)
+        live = live[at[live] < end[live]]
+    return bands.reshape(n, BINS * len(STEPS)), tags.reshape(n, BINS)
+
+
+def walk(flat: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Emitted bytes, each text's from its offset on, and (offset, number of steps) of each text; ``hashes`` are its windows'."""
     n = len(offsets) - 1
     lengths = np.diff(offsets)
     order = np.argsort(-lengths, kind="stable")
-    hashes = window_hashes(flat, offsets)
     alive, out, steps, j = order[lengths[order] > 0], np.zeros(len(flat), np.uint8), np.zeros(n, np.int64), 0
     at, end = offsets[alive], offsets[alive + 1]
     slot = at.copy()
     while len(alive):
         here = hashes[at]
         out[slot + j] = (here >> np.uint64(24)).astype(np.uint8)
-        key = (here ^ np.uint64((SEED * (2 * j + 1)) & (2**64 - 1))) * np.uint64(0xD6E8FEB86659FD93)
-        at = at + 1 + (key >> np.uint64(61)).astype(np.int64)
+        at = at + stride(here, j)
         j += 1
         inside = at < end
         if not inside.all():
@@ -101,12 +136,15 @@ def jump(buckets: np.ndarray) -> np.ndarray:
     return b.astype(np.int64)
 
 
-def fingerprints(texts: list[str]) -> np.ndarray:
-    """SAMPLES bytes for each text; all 0 for an empty one."""
+def fingerprints(texts: list[str], bands: np.ndarray | None = None, tags: np.ndarray | None = None) -> np.ndarray:
+    """SAMPLES bytes for each text; all 0 for an empty one. ``bands`` and ``tags`` are filled with what ``anchored`` gives."""
     out = np.zeros((len(texts), SAMPLES), np.uint8)
     for lo, hi in runs(np.array([len(t) for t in texts], np.int64), CHUNK_CHARS):
         flat, offsets = codes(texts[lo:hi])
-        emitted, place = walk(flat, offsets)
+        hashes = window_hashes(flat, offsets)
+        if bands is not None:
+            bands[lo:hi], tags[lo:hi] = anchored(offsets, hashes)
+        emitted, place = walk(flat, offsets, hashes)
         full = np.flatnonzero(place[:, 1])
         if len(full):
             picks = jump(place[full, 1])
@@ -186,7 +224,7 @@ def _edit_rows(docs: DataFrame, id_col: str, text_col: str, parts: int | None) -
         if len(waiting) > 1:
             yield from _compare(waiting, id_col, arrow_id)
 
-    return dealt.select("part", "extra", "id", "text").mapInArrow(tidy(run), f"`{id_col}` {kind.simpleString()}, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, text_md5 binary")
+    return dealt.select("part", "extra", "id", "text").mapInArrow(tidy(run), f"`{id_col}` {kind.simpleString()}, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, text_md5 binary, bands binary, tags binary")
 
 
 def _compare(rows: list[tuple], id_col: str, arrow_id: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -196,7 +234,8 @@ def _compare(rows: list[tuple], id_col: str, arrow_id: pa.DataType) -> Iterator[
     if not own:
         return
     changed = [edited(texts[i], texts[i + 1]) for i in own]
-    plain, other = fingerprints(texts), fingerprints(changed)
+    bands, tags = np.zeros((len(texts), BINS * len(STEPS)), np.uint16), np.zeros((len(texts), BINS), np.uint8)
+    plain, other = fingerprints(texts, bands, tags), fingerprints(changed)
     empty = np.array([not t for t in texts])
     own = np.array(own)
     near_edited = likeness(plain[own], other, empty[own], np.array([not t for t in changed]))
@@ -210,8 +249,10 @@ def _compare(rows: list[tuple], id_col: str, arrow_id: pa.DataType) -> Iterator[
         pa.array(near_edited),
         pa.array(near_next),
         pa.array([hashlib.md5(texts[i].encode("utf-8", "surrogatepass")).digest() for i in own], pa.binary()),
+        pa.array([bands[i].tobytes() for i in own], pa.binary()),
+        pa.array([tags[i].tobytes() for i in own], pa.binary()),
     ]
-    yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text_md5"])
+    yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text_md5", "bands", "tags"])
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,6 +287,24 @@ def loose_links(classes: DataFrame, least: float = LOOSE) -> DataFrame:
     return near_dedup.spanning_links(rows, F.lit(1), near_dedup.BUCKET_BLOCK, _prints_alike(least))
 
 
+def _anchors_alike(group: pa.Table):
+    """Whether enough anchors are in common; column tags."""
+    tags = np.frombuffer(b"".join(group.column(0).to_pylist()), np.uint8).reshape(-1, BINS)
+    some = tags > 0
+    return lambda i: ((tags == tags[i]) & some).sum(axis=1) >= LOOSE_ANCHORS * (some | some[i]).sum(axis=1)
+
+
+def anchored_links(classes: DataFrame) -> DataFrame:
+    """(u, v) of classes (fp long, bands, tags) that share an anchor's band, spanning the buckets' parts of texts with enough common anchors."""
+    width = 2 * len(STEPS)
+    each = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.struct(i.alias("i"), F.substring("bands", i * width + 1, F.lit(width)).alias("x")))
+    full = F.filter(each, lambda e: e["x"] != F.lit(bytes(width)))
+    keys = classes.select("fp", F.explode(F.transform(full, lambda e: F.xxhash64(e["i"], e["x"]))).alias("key"))
+    shared = small(cut(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").drop("size")), near_dedup.BROADCAST_ROWS)
+    rows = keys.join(shared, "key").join(classes.select("fp", "tags"), "fp").select("key", "fp", "tags")
+    return near_dedup.spanning_links(rows, F.lit(1), near_dedup.BUCKET_BLOCK, _anchors_alike)
+
+
 def window_set(text: str) -> np.ndarray:
     """Sorted hashes of the text's distinct windows of Q characters; a shorter text is one window."""
     flat, offsets = codes([text])
@@ -264,10 +323,10 @@ def _texts_alike(percent: int):
 
 def _group_ids(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
     """(text_md5, least) of texts that others are near or equal to; ``rows`` are of ``_edit_rows``."""
-    own = rows.filter("n_chars > 0").select(F.col(id_col).alias("id"), "text_md5", "n_chars", "fingerprint", F.xxhash64("fingerprint").alias("node"))
+    own = rows.filter("n_chars > 0").select(F.col(id_col).alias("id"), "text_md5", "n_chars", "bands", "tags", F.xxhash64("bands", "tags").alias("node"))
     texts = cut(own.groupBy("text_md5").agg(F.min("id").alias("id"), F.count("*").alias("docs"), F.max("n_chars").alias("n"), F.max("node").alias("node")))
-    classes = cut(own.groupBy("node").agg(F.max("fingerprint").alias("regs")).withColumnRenamed("node", "fp"))
-    loose = components(loose_links(classes).select("u", "v"))
+    classes = cut(own.groupBy("node").agg(F.max("bands").alias("bands"), F.max("tags").alias("tags")).withColumnRenamed("node", "fp"))
+    loose = components(anchored_links(classes).select("u", "v"))
     labelled = texts.join(loose, "node", "left").withColumn("cluster", F.xxhash64(F.coalesce("component", "node"))).drop("component", "node")
     sizes = labelled.groupBy("cluster").agg(F.count("*").alias("members")).filter("members > 1").drop("members")
     wanted = small(cut(labelled.join(sizes, "cluster").select("cluster", F.col("text_md5").alias("fp"), F.col("id").alias("one"))), near_dedup.BROADCAST_ROWS)
