@@ -295,12 +295,17 @@ def _anchors_alike(group: pa.Table):
 
 
 def anchored_links(classes: DataFrame) -> DataFrame:
-    """(u, v) of classes (fp long, bands, tags) that share an anchor's band, spanning the buckets' parts of texts with enough common anchors."""
+    """(u, v) of classes (fp long, bands, tags) that share an anchor's band, spanning the buckets' parts of texts with enough common anchors.
+
+    Copies meet in many buckets. Of buckets that hold the same classes one is looked at: they are told by their size and two hashes of all members.
+    """
     width = 2 * len(STEPS)
     each = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.struct(i.alias("i"), F.substring("bands", i * width + 1, F.lit(width)).alias("x")))
     full = F.filter(each, lambda e: e["x"] != F.lit(bytes(width)))
     keys = classes.select("fp", F.explode(F.transform(full, lambda e: F.xxhash64(e["i"], e["x"]))).alias("key"))
-    shared = small(cut(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").drop("size")), near_dedup.BROADCAST_ROWS)
+    members = [F.bit_xor(F.xxhash64(F.lit(i), "fp")).alias(f"m{i}") for i in range(2)]
+    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), *members).filter("size > 1")
+    shared = small(cut(buckets.groupBy("size", "m0", "m1").agg(F.min("key").alias("key")).select("key")), near_dedup.BROADCAST_ROWS)
     rows = keys.join(shared, "key").join(classes.select("fp", "tags"), "fp").select("key", "fp", "tags")
     return near_dedup.spanning_links(rows, F.lit(1), near_dedup.BUCKET_BLOCK, _anchors_alike)
 
