@@ -29,8 +29,8 @@ from meterlake.llm.common import cut, small
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-#: Larger patterns up to so many have their own node in the flow; documents of the others count for their first source only.
-MAX_PATTERNS = 50_000
+#: Tables with a row a pattern or a source are broadcast up to so many rows.
+BROADCAST_PATTERNS = 50_000
 BUCKETS = 4096
 #: A rest is filled from documents of at most this share of it, until less than ``NEAR`` of the pattern's words is open.
 SMALLER, NEAR = 1 / 8, 1e-4
@@ -71,20 +71,25 @@ def min_cost_flow(capacity: dict, quota: dict, members: dict, max_repeats: int =
     """
     given = {(p, s): 0 for p in capacity for s in members[p] if s in quota}
     open_quota = dict(quota)
-    givers: dict = {s: {} for s in quota}  # source: patterns that give to it, as an ordered set
     own: dict = {p: [s for s in members[p] if s in quota] for p in capacity}
+    moves: dict = {s: {} for s in quota}  # from a source to another: patterns that give to the one and belong to the other, as an ordered set
 
     def give(p, s, n: int) -> None:
+        before = given[p, s]
         given[p, s] += n
-        if given[p, s]:
-            givers[s][p] = None
-        else:
-            givers[s].pop(p, None)
-
-    def path(p) -> list | None:
-        """Sources and the patterns between them, from one of p's sources to one with open quota."""
-        came: dict = {s: None for s in own[p]}
-        waiting = deque(own[p])
+        if not before and n:
+            for b in own[p]:
+                if b != s:
+                    moves[s].setdefault(b, {})[p] = None
+        elif before and not given[p, s]:
+            for b in own[p]:
+                if b != s:
+                    del moves[s][b][p]
+
+    def path(p, stuck: set) -> list | None:
+        """Sources and the patterns between them, from one of p's sources to one with open quota; without one, all that were reached are stuck."""
+        came: dict = {s: None for s in own[p] if s not in stuck}
+        waiting = deque(came)
         while waiting:
             a = waiting.popleft()
             if open_quota[a] > 0:
@@ -92,23 +97,20 @@ def min_cost_flow(capacity: dict, quota: dict, members: dict, max_repeats: int =
                 while came[steps[-1]] is not None:
                     steps += came[steps[-1]]
                 return steps[::-1]
-            for q in givers[a]:
-                for b in own[q]:
-                    if b not in came:
-                        came[b] = (q, a)
-                        waiting.append(b)
-                if len(came) == len(quota):
-                    break
+            for b, by in moves[a].items():
+                if by and b not in came and b not in stuck:
+                    came[b] = (next(iter(by)), a)
+                    waiting.append(b)
+        stuck.update(came)
         return None
 
     for _ in range(max_repeats):
-        stuck: set = set()  # once no path leads on from a set of sources, none does later in the pass
+        stuck: set = set()  # once no path leads on from a source, none does later in the pass
         for p in sorted(capacity, key=lambda x: len(own[x])):
             left = capacity[p]
-            while left > 0 and frozenset(own[p]) not in stuck:
-                steps = path(p)
+            while left > 0:
+                steps = path(p, stuck)
                 if steps is None:
-                    stuck.add(frozenset(own[p]))
                     break
                 sources, between = steps[::2], steps[1::2]
                 push = min(left, open_quota[sources[-1]], *(given[q, a] for q, a in zip(between, sources[:-1], strict=True)))
@@ -142,7 +144,6 @@ class Mix:
     source_size: dict = field(default_factory=dict)
     target: dict = field(default_factory=dict)
     flow: dict = field(default_factory=dict)
-    merged: bool = False  # whether patterns without a node of their own count for their first source
 
 
 def pattern_of(members: Column) -> Column:
@@ -168,30 +169,21 @@ def _units(docs: DataFrame, id_col: str, size_col: str, members: Column, seed: i
     return cut(rows.groupBy("pattern", "h").agg(F.max("one").alias("one"), F.sum("one").alias("size")))
 
 
-def _first_source(pattern: Column) -> Column:
-    return F.slice(pattern, 1, 1)
-
-
-def plan_mix(docs: DataFrame, id_col: str, size_col: str, members: Column, weights=WEIGHTS, seed: int = 17, max_repeats: int = MAX_REPEATS, max_patterns: int = MAX_PATTERNS) -> Mix:
-    """Route all of ``docs`` to the sources' targets; the driver sees a few numbers for each pattern only.
+def plan_mix(docs: DataFrame, id_col: str, size_col: str, members: Column, weights=WEIGHTS, seed: int = 17, max_repeats: int = MAX_REPEATS) -> Mix:
+    """Route all of ``docs`` to the sources' targets; the driver sees a few numbers for each distinct set of sources only.
 
     ``members`` is an array of a document's sources; a null one is a source, a null array has none, so its documents
-    are never taken. Beyond ``max_patterns`` patterns, documents of the smaller ones count for the first of their
-    sources only. Empty documents and null sizes take nothing, an empty table gives an empty mix. Documents of one
-    size are chosen by their hash.
+    are never taken. Every pattern has its own node in the flow, however many there are. Empty documents and null sizes
+    take nothing, an empty table gives an empty mix. Documents of one size are chosen by their hash.
     """
     units = _units(docs, id_col, size_col, members, seed)
-    sums = cut(units.groupBy("pattern").agg(F.sum("size").alias("size")))
-    mix = Mix(seed, merged=sums.count() > max_patterns)
-    kept = sums
-    if mix.merged:
-        kept = cut(sums.orderBy(F.desc("size"), "pattern").limit(max_patterns))
-        named = units.join(small(kept.select("pattern", F.lit(True).alias("own")), MAX_PATTERNS), "pattern", "left")
-        units = cut(named.withColumn("pattern", F.when(F.col("own"), F.col("pattern")).otherwise(_first_source(F.col("pattern")))).drop("own"))
-        kept = units.groupBy("pattern").agg(F.sum("size").alias("size"))
-    members_of = {_key(r.pattern): r["size"] for r in kept.collect()}
-    by_source = sums.select(F.explode("pattern").alias("s"), "size").groupBy("s").agg(F.sum("size").alias("size")).collect()
-    sizes = {(r.s.is_null, r.s.name): r["size"] for r in by_source}
+    sums = units.groupBy("pattern").agg(F.sum("size").alias("size"))
+    mix = Mix(seed)
+    members_of = {_key(r.pattern): r["size"] for r in sums.collect()}
+    sizes: dict = {}
+    for p, n in members_of.items():
+        for s in p:
+            sizes[s] = sizes.get(s, 0) + n
     sources = sorted(sizes, key=lambda s: (s[0], (s[1] or "").encode()))
     mix.source_size, mix.target = sizes, targets_by_weight(sizes, sources, weights, max_repeats)
     mix.flow = min_cost_flow(members_of, {s: round(mix.target[s]) for s in sources}, {p: p for p in members_of}, max_repeats)
@@ -220,7 +212,7 @@ def _key(pattern) -> tuple:
 def _frame(spark, rows: list, columns: str) -> DataFrame:
     """Rows whose first value is a pattern's key; broadcast if they are few."""
     named = [([{"is_null": a, "name": b} for a, b in p], *rest) for p, *rest in rows]
-    return small(spark.createDataFrame(named, f"pattern array<struct<is_null boolean, name string>>, {columns}"), MAX_PATTERNS)
+    return small(spark.createDataFrame(named, f"pattern array<struct<is_null boolean, name string>>, {columns}"), BROADCAST_PATTERNS)
 
 
 _TAKEN_COLUMNS = "passes bigint, cut int, levels array<struct<size bigint, cut int>>, extra map<bigint,int>"
@@ -331,12 +323,9 @@ def with_taken(docs: DataFrame, mix: Mix, id_col: str, size_col: str, members: C
     """
     side = _frame(docs.sparkSession, [(p, *_taken_values(r)) for p, r in mix.rests.items()], _TAKEN_COLUMNS)
     boxes = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), pattern_of(members).alias("pattern"), _hash(mix.seed, F.col(id_col), F.col(size_col)).alias("h"), F.coalesce(F.col(size_col), F.lit(0)).alias("one"))
-    if mix.merged:
-        known = side.select("pattern", F.lit(True).alias("own"))
-        boxes = boxes.join(known, "pattern", "left").withColumn("pattern", F.when(F.col("own"), F.col("pattern")).otherwise(_first_source(F.col("pattern")))).drop("own")
     return boxes.join(side, "pattern", "left").select("doc.*", F.coalesce(_times("one"), F.lit(0)).cast("long").alias(name))
 
 
 def source_facts(spark, mix: Mix) -> DataFrame:
     """Per source: is_null, name, source_size, target."""
-    return small(spark.createDataFrame([(a, b, int(n), float(mix.target[a, b])) for (a, b), n in mix.source_size.items()], "is_null boolean, name string, source_size long, target double"), MAX_PATTERNS)
+    return small(spark.createDataFrame([(a, b, int(n), float(mix.target[a, b])) for (a, b), n in mix.source_size.items()], "is_null boolean, name string, source_size long, target double"), BROADCAST_PATTERNS)

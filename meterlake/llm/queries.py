@@ -69,7 +69,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.plan_mix(sized, "doc_id", "size", members)
     facts = mixing.source_facts(spark, mix).select("is_null", "name", "source_size", "target")
     taken = mixing.with_taken(sized, mix, "doc_id", "size", members, "passes")
-    out = taken.join(F.broadcast(facts), taken.source.eqNullSafe(facts.name))
+    out = taken.join(facts, taken.source.eqNullSafe(facts.name))
     return out.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size")).alias("taken"))
 
 

@@ -75,10 +75,44 @@ def test_overlapping_sources(spark):
     assert len(out) == 600 and all(r.passes == 0 for r in out if r.sources is None) and all(0 <= r.passes <= 3 for r in out)
     flow = sum(mix.flow.values())
     assert abs(sum(r.passes * r.size for r in out) - flow) <= 1
-    few = mixing.plan_mix(docs, "doc_id", "size", F.col("sources"), max_patterns=2)  # the others count for their first source
-    again = mixing.with_taken(docs, few, "doc_id", "size", F.col("sources"), "passes").collect()
-    assert len(again) == 600 and all(r.passes == 0 for r in again if r.sources is None)
-    assert few.source_size == mix.source_size and abs(sum(r.passes * r.size for r in again) - sum(few.flow.values())) <= 1
+
+
+def test_patterns_of_many_sources(spark):
+    rng = random.Random(4)
+    names = [f"s{i:02d}" for i in range(12)]
+    rows = [(i, rng.sample(names, rng.randint(1, 4)), rng.randint(1, 9)) for i in range(2000)]  # some 700 patterns
+    docs = spark.createDataFrame(rows, "doc_id bigint, sources array<string>, size bigint")
+    mix = mixing.plan_mix(docs, "doc_id", "size", F.col("sources"))
+    assert len(mix.rests) == len({tuple(sorted(s)) for _, s, _ in rows})
+    out = mixing.with_taken(docs, mix, "doc_id", "size", F.col("sources"), "passes").collect()
+    size = Counter()
+    for _, s, n in rows:
+        size.update({("x",): n, **{x: n for x in s}})
+    assert {s: n for (_, s), n in mix.source_size.items()} == {s: size[s] for s in names}
+    want = mixing.targets_by_weight({s: size[s] for s in names}, names)
+    flow = {s: sum(n for (_, (_, q)), n in mix.flow.items() if q == s) for s in names}
+    assert sum(flow.values()) == largest_flow(rows, want, 3) and all(flow[s] <= round(want[s]) for s in names)
+    # a pattern's documents make up its flow to less than half of the largest document
+    by_pattern = Counter()
+    for r in out:
+        by_pattern[tuple(sorted(r.sources))] += r.passes * r.size
+    given = Counter()
+    for (p, _), n in mix.flow.items():
+        given[tuple(sorted(x for _, x in p))] += n
+    assert all(abs(by_pattern[p] - given[p]) <= 5 for p in given)
+
+
+def largest_flow(rows, want, most):
+    """Words that sources can take at most, by the least cut: over all sets of sources that are filled up."""
+    names, capacity = sorted(want), Counter()
+    for _, s, n in rows:
+        capacity[frozenset(s)] += most * n
+    best = None
+    for bits in range(1 << len(names)):
+        full = {s for k, s in enumerate(names) if bits >> k & 1}
+        cut_words = sum(round(want[s]) for s in full) + sum(n for p, n in capacity.items() if not p <= full)
+        best = cut_words if best is None else min(best, cut_words)
+    return best
 
 
 def test_many_patterns_flow():
@@ -93,6 +127,16 @@ def test_many_patterns_flow():
     assert all(sum(n for (_, s), n in flow.items() if s == q) <= quota[q] for q in names)
 
 
+def test_flow_over_many_distinct_patterns():
+    names = [f"s{i:02d}" for i in range(50)]
+    members = {p: list(p) for p in itertools.chain(((s,) for s in names), itertools.combinations(names, 2), itertools.islice(itertools.combinations(names, 3), 15_000))}
+    capacity = {p: 1 + len(p) for p in members}
+    total = sum(capacity.values())
+    quota = {s: total // 50 for s in names}
+    flow = mixing.min_cost_flow(capacity, quota, members)
+    assert sum(flow.values()) == sum(quota.values())
+
+
 def test_repeated_rows_are_counted(spark):
     rows = [(i, "ab"[i % 2], 10) for i in range(20) for _ in range(10)]  # ten copies of each id
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint")
