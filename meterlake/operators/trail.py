@@ -15,14 +15,14 @@ MIN_PAST_RUN = 3
 RECENT, RECENT_DAYS = 6, 90
 
 
-def trail_days(streaks: DataFrame, fallback: int = 0) -> DataFrame:
-    """Dense days before today: date, tokens, goal, goal_met, frozen, freeze, cache_share and each tool's share.
+def trail_days(streaks: DataFrame, fallback: int = 0, with_today: bool = False) -> DataFrame:
+    """Dense days before today (or up to it): date, tokens, goal, goal_met, frozen, freeze, cache_share and each tool's share.
 
     A day without a goal is judged by today's goal, or if there is none by ``fallback``. A rest day that isn't met counts as frozen.
     """
     c = F.col
     today = F.max(F.when((c("date") == c("today")) & (c("goal") > 0), c("goal"))).over(Window.partitionBy())
-    rows = streaks.withColumn("usual", F.coalesce(today, F.lit(fallback))).filter("date < today")
+    rows = streaks.withColumn("usual", F.coalesce(today, F.lit(fallback))).filter("date <= today" if with_today else "date < today")
     goal = F.when(c("goal") > 0, c("goal")).otherwise(c("usual")).cast("bigint")
     met = F.when(c("goal") > 0, c("met")).otherwise((c("usual") > 0) & (c("total") >= c("usual")))
     whole = sum((c(t) for t in TOOLS), F.lit(0))
@@ -32,14 +32,47 @@ def trail_days(streaks: DataFrame, fallback: int = 0) -> DataFrame:
 
 def trail_range(streaks: DataFrame, since: Column, until: Column, fallback: int = 0) -> tuple[DataFrame, DataFrame]:
     """(history, head): the trail's days from ``since`` on before ``until``, and one row of the day ``until`` (0 without usage)."""
-    days = trail_days(streaks.withColumn("today", F.greatest("today", F.date_add("date", 1))), fallback)  # the head too, for its shares
+    days = trail_days(streaks, fallback, with_today=True)  # the head too, for its shares
     limit = streaks.agg(F.max("today").alias("_last"), F.least(F.max("today"), until).alias("_until"))
     both = days.crossJoin(F.broadcast(limit))  # one row
     history = both.filter((F.col("date") >= since) & (F.col("date") < F.col("_until"))).select(days.columns)
-    head = limit.join(days, F.col("date") == F.col("_until"), "left").select(F.col("_until").alias("date"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "cache_share", *[f"{t}_share" for t in TOOLS])])
+    head = limit.join(days, F.col("date") == F.col("_until"), "left").select(F.col("_until").alias("date"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "goal", "cache_share", *[f"{t}_share" for t in TOOLS])])
     return history, head
 
 
+def trail_buckets(history: DataFrame, head: DataFrame, size: int, recent_from: Column | None = None, recent_size: int = 1) -> DataFrame:
+    """The trail in buckets of ``size`` days that end with the newest; the head is one of its own.
+
+    ``history`` and ``head`` are ``trail_range``'s. Days from ``recent_from`` on are in buckets of ``recent_size``; no bucket goes over that border.
+    Columns: pos (from the oldest), since, until, days, tokens and reach (means; a day reaches at most 2.5 times its goal, without a goal its
+    tokens), cache_share weighted by tokens, each tool's share weighted by tokens (at least one a day), lit_days, kind.
+
+    A bucket is dark without any tokens, lit where lit and frozen days are at least 60 % and one is lit, frozen where over half are, else a wisp.
+    A single day is lit, frozen, a wisp (of some tokens) or dark, in this order.
+    """
+    c = F.col
+    share = [f"{t}_share" for t in TOOLS]
+    past = history.select("date", "tokens", "goal", c("goal_met").alias("lit"), (c("frozen") & ~c("goal_met")).alias("ice"), "cache_share", *share, F.lit(False).alias("is_head"))
+    tip = head.select("date", "tokens", "goal", F.lit(False).alias("lit"), F.lit(False).alias("ice"), "cache_share", *share, F.lit(True).alias("is_head"))
+    recent = F.lit(False) if recent_from is None else (c("date") >= recent_from) & ~c("is_head")
+    rows = past.unionByName(tip).withColumn("part", F.when(c("is_head"), 2).when(recent, 1).otherwise(0))
+    back = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("date"))) - 1
+    rows = rows.withColumn("bucket", F.floor(back / F.when(c("part") == 1, recent_size).otherwise(size)))
+    reach = F.least(F.lit(2.5), F.greatest(F.lit(0.0), c("tokens") / F.when(c("goal") > 0, c("goal")).otherwise(1)))
+    weighted = {t: F.sum(c(t) * F.greatest("tokens", F.lit(1))) for t in share}
+    whole = sum(weighted.values(), F.lit(0.0))
+    out = rows.groupBy("part", "bucket").agg(
+        F.min("date").alias("since"), F.max("date").alias("until"), F.count("*").alias("days"), F.avg("tokens").alias("tokens"), F.avg(reach).alias("reach"),
+        ratio(F.sum(c("cache_share") * c("tokens")), F.sum("tokens")).alias("cache_share"), *[ratio(w, whole).alias(t) for t, w in weighted.items()],
+        F.count_if("lit").alias("lit_days"), F.count_if("ice").alias("ice"), F.count_if((c("tokens") <= 0) & ~c("is_head")).alias("none"),
+    )
+    one = F.when(c("lit_days") > 0, "lit").when(c("ice") > 0, "frozen").when(c("none") == 0, "wisp").otherwise("dark")
+    many = F.when(c("none") == c("days"), "dark").when((c("lit_days") > 0) & (c("lit_days") + c("ice") >= F.ceil(c("days") * 6 / 10)), "lit").when(c("ice") * 2 > c("days"), "frozen").otherwise("wisp")
+    kind = F.when(c("part") == 2, "today").when(c("days") == 1, one).otherwise(many)
+    pos = F.row_number().over(Window.partitionBy().orderBy("since", "part")) - 1  # a row a bucket
+    return out.select(pos.alias("pos"), "since", "until", "days", "tokens", "reach", "cache_share", *share, "lit_days", kind.alias("kind"))
+
+
 def trail_points(levels: DataFrame) -> DataFrame:
     """``detail_levels`` (with lit_days) in order of time: pos from 0; the newest is today's."""
     order = Window.partitionBy().orderBy(F.desc("bucket"))

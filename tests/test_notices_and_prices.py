@@ -138,6 +138,7 @@ def test_trail_ranges(spark):
     assert got == {1: (30, False, False, False, 0.4), 2: (30, False, True, False, 0.4), 3: (30, True, False, False, 0.4), 4: (30, True, True, True, 0.4), 5: (30, True, False, False, 0.4)}
     history, head = trail.trail_range(streaks, F.lit(day(2)), F.lit(day(4)))
     assert sorted(r.date.day for r in history.collect()) == [2, 3] and [(r.date, r.tokens, r.claude_share) for r in head.collect()] == [(day(4), 40, 1.0)]
+    assert [(r.date.day, r.goal) for r in history.orderBy("date").collect()] == [(2, 30), (3, 30)]  # the day without a goal has today's here too
     history, head = trail.trail_range(streaks, F.lit(day(2)), F.lit(day(20)))
     assert sorted(r.date.day for r in history.collect()) == [2, 3, 4, 5] and head.first().date == day(6)
 
