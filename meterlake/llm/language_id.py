@@ -1,8 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of n-grams by language are summed by Spark over a bounded sample of labelled documents; the
-log-probability matrix (buckets x languages, of at most ``MAX_CELLS`` cells) is broadcast, and numpy
-scores whole texts: a text is a sparse vector of its buckets' counts, which is multiplied by the matrix.
+log-probability matrix (buckets x languages) is broadcast. It holds only cells whose count isn't 0, as what they are above
+the language's value for all others, so it grows with what was counted and not with languages times buckets. Numpy
+scores whole texts: a text is a sparse vector of its buckets' counts, which is multiplied by the sparse matrix.
 """
 
 from __future__ import annotations
@@ -22,31 +23,44 @@ ORDERS = (1, 2, 3)
 BUCKET_BITS = 15
 #: Fit on about so many documents of each language at most, by a hash of their ids.
 FIT_PER_LANGUAGE = 800
-#: The matrix's bound: of over 256 languages each has half the buckets, of over 512 a quarter, and so on.
-MAX_CELLS = 1 << 23
-MAX_LANGUAGES = 1 << 13
 SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Texts are scored in groups of about so many characters.
 CHUNK_CHARS = 300_000
+#: A task of the fit hands on its counts when it has so many cells.
+HELD_CELLS = 1 << 22
+#: Up to so many languages their rates are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 1 << 13
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    log_prob: np.ndarray  # buckets x languages, float32
-
-
-    @property
-    def bits(self) -> int:
-        return len(self.log_prob).bit_length() - 1
-
-
-def bucket_bits(languages: int) -> int:
-    return min(BUCKET_BITS, (MAX_CELLS // max(languages, 1)).bit_length() - 1)
+    base: np.ndarray  # for each language the log-probability of a bucket that it was never seen with
+    starts: np.ndarray  # for each bucket where its cells begin, and the end of all
+    language: np.ndarray  # of each cell
+    gain: np.ndarray  # of each cell: its log-probability above the base
+
+    @classmethod
+    def from_counts(cls, languages: list[str], cells: np.ndarray, counts: np.ndarray) -> LanguageModel:
+        """``cells`` are bucket times languages plus language, each once, with their ``counts`` above 0."""
+        order = np.argsort(cells)
+        bucket, language = np.divmod(cells[order], max(1, len(languages)))
+        n = counts[order].astype(np.float64)
+        total = np.bincount(language, n, len(languages)) + SMOOTHING * (1 << BUCKET_BITS)
+        starts = np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1))
+        return cls(languages, np.log(SMOOTHING / total), starts, language.astype(np.int32), np.log1p(n / SMOOTHING).astype(np.float32))
+
+    def score(self, counts: np.ndarray) -> np.ndarray:
+        """Log-likelihoods of a text with these counts of all buckets."""
+        at = np.flatnonzero(counts)
+        lengths = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(lengths)
+        cells = np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(lengths.sum())
+        return self.base * counts.sum() + np.bincount(self.language[cells], self.gain[cells] * np.repeat(counts[at], lengths), len(self.languages))
 
 
-def ngram_buckets(flat: np.ndarray, order: int, bits: int = BUCKET_BITS) -> np.ndarray:
+def ngram_buckets(flat: np.ndarray, order: int) -> np.ndarray:
     """The bucket of the n-gram that begins at each character (those that cross a text's end included)."""
     n = len(flat) - order + 1
     if n <= 0:
@@ -55,7 +69,7 @@ def ngram_buckets(flat: np.ndarray, order: int, bits: int = BUCKET_BITS) -> np.n
     for k in range(order):
         h = h * np.uint64(0x9E3779B97F4A7C15) + flat[k : k + n].astype(np.uint64)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
+    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def _lowered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,22 +77,18 @@ def _lowered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes([f" {t.lower()} " for t in texts])
 
 
-def bucket_counts(texts: list[str], bits: int) -> Iterator[np.ndarray]:
-    """For each text, how often each bucket has one of its n-grams; n-grams across two texts don't count."""
+def text_buckets(texts: list[str]) -> Iterator[np.ndarray]:
+    """For each text, the bucket of each of its n-grams; n-grams across two texts don't count."""
     flat, offsets = _lowered(texts)
-    buckets = [ngram_buckets(flat, order, bits) for order in ORDERS]
+    buckets = [ngram_buckets(flat, order) for order in ORDERS]
     for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        own = [b[lo : max(hi - order + 1, lo)] for order, b in zip(ORDERS, buckets, strict=True)]
-        yield np.bincount(np.concatenate(own), minlength=1 << bits)
+        yield np.concatenate([b[lo : max(hi - order + 1, lo)] for order, b in zip(ORDERS, buckets, strict=True)])
 
 
-def score_texts(texts: list[str], model: LanguageModel) -> np.ndarray:
-    """Log-likelihoods, a row for each text."""
-    out = np.zeros((len(texts), len(model.languages)))
-    for row, counts in zip(out, bucket_counts(texts, model.bits), strict=True):
-        at = np.flatnonzero(counts)
-        row[:] = counts[at] @ model.log_prob[at].astype(np.float64)
-    return out
+def score_texts(texts: list[str], model: LanguageModel) -> Iterator[np.ndarray]:
+    """Log-likelihoods of each text."""
+    for own in text_buckets(texts):
+        yield model.score(np.bincount(own, minlength=1 << BUCKET_BITS))
 
 
 def has_letter(text: str) -> bool:
@@ -90,35 +100,35 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
     The sample takes each row by a hash of its id, at a rate that leaves about ``per_language`` rows of
     each language; a language of fewer rows gives all. Whole texts count, repeated rows as often as they stand;
-    how rows lie makes no difference. Over ``MAX_LANGUAGES`` languages are an error; no rows give a model
-    without languages.
+    how rows lie makes no difference. Any number of languages is learned; the driver sees a row for each and the cells
+    of the matrix. No rows give a model without languages.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    sizes = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
-    languages = sorted(r["lang"] for r in sizes)
+    sizes = sorted(map(tuple, known.groupBy("lang").count().collect()))
+    languages = [lang for lang, _ in sizes]
+    n = len(languages)
     if not languages:
-        return LanguageModel([], np.zeros((1 << BUCKET_BITS, 0), np.float32))
-    rates = docs.sparkSession.createDataFrame([(r["lang"], languages.index(r["lang"]), min(1.0, per_language / r["count"])) for r in sizes], "lang string, label int, rate double")
-    sample = known.join(small(rates, MAX_LANGUAGES), "lang").filter(uniform(F.lit(7), F.col("id")) < F.col("rate")).select("label", "text")
-    n, bits = len(languages), bucket_bits(len(languages))
+        return LanguageModel.from_counts([], np.zeros(0, np.int64), np.zeros(0, np.int64))
+    rates = docs.sparkSession.createDataFrame([(lang, i, min(1.0, per_language / count)) for i, (lang, count) in enumerate(sizes)], "lang string, label int, rate double")
+    sample = known.join(small(rates, BROADCAST_ROWS), "lang").filter(uniform(F.lit(7), F.col("id")) < F.col("rate")).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n, 1 << bits), np.int64)
+        held, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            labels, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            labels, texts = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_pylist()
             for lo, hi in runs(np.array([len(t) for t in texts]), CHUNK_CHARS):
-                for label, counts in zip(labels[lo:hi], bucket_counts(texts[lo:hi], bits), strict=True):
-                    total[label] += counts
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["cell", "n"])
+                own = np.concatenate([held, *[b * n + label for label, b in zip(labels[lo:hi], text_buckets(texts[lo:hi]), strict=True)]])
+                held, which = np.unique(own, return_inverse=True)
+                weights = np.ones(len(own), np.int64)
+                weights[: len(sums)] = sums
+                sums = np.bincount(which, weights, len(held)).astype(np.int64)
+                if len(held) >= HELD_CELLS:
+                    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(sums)], names=["cell", "n"])
+                    held, sums = held[:0], sums[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(sums)], names=["cell", "n"])
 
-    cells = sample.mapInArrow(tidy(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # buckets x languages at most
-    counts = np.full(n << bits, SMOOTHING)
-    counts[cells["cell"].to_numpy()] += cells["n"].to_numpy()
-    counts = counts.reshape(n, -1)
-    return LanguageModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32).copy())
+    cells = sample.mapInArrow(tidy(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    return LanguageModel.from_counts(languages, cells["cell"].to_numpy(), cells["n"].to_numpy())
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -138,11 +148,8 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             sure = [i for i, t in enumerate(texts) if t and known.languages and has_letter(t)]
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for lo, hi in runs(np.array([len(texts[i]) for i in sure], np.int64), CHUNK_CHARS):
-                logs = score_texts([texts[i] for i in sure[lo:hi]], known)
-                best = logs.argmax(axis=1)
-                odds = np.exp(logs - logs.max(axis=1, keepdims=True))
-                for i, b, p in zip(sure[lo:hi], best, odds.max(axis=1) / odds.sum(axis=1), strict=True):
-                    lang[i], score[i] = known.languages[b], p
+                for i, logs in zip(sure[lo:hi], score_texts([texts[i] for i in sure[lo:hi]], known), strict=True):
+                    lang[i], score[i] = known.languages[logs.argmax()], 1 / np.exp(logs - logs.max()).sum()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[*named, "lang_pred", "score"])
 
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in named]).add("lang_pred", "string").add("score", "double")

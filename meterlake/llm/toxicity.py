@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,9 +34,8 @@ WINDOW = 2000
 EPOCHS, STEP, BATCH, PENALTY = 4, 0.02, 16, 1e-5
 #: Thresholds come from scores by models that were fitted on the other folds.
 FOLDS = 3
-#: Languages with fewer documents of a label use the threshold over all languages.
+#: Languages with fewer documents of a label use the threshold over all languages, so at most ``FIT_PER_LABEL / LEAST_EACH`` have their own.
 LEAST_EACH = 10
-MAX_LANGUAGES = 256
 CHUNK_CHARS = 2_000_000
 _WORD = re.compile(r"[^\W_]+")
 
@@ -150,14 +150,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = _sample(docs, labels, id_col, text_col, label_col, lang_col, per_label).toArrow().sort_by([("id", "ascending"), ("at", "ascending")])
     ids, label, langs = rows["id"].to_pylist(), np.array(rows["label"].to_pylist(), np.int64), rows["lang"].to_pylist()
     words = [np.frombuffer(w, np.int32).reshape(-1, 4).astype(np.int64) for w in rows["words"].to_pylist()]
-    known = sorted({x for x in langs if x is not None})[:MAX_LANGUAGES]
-    counts = np.full((max(1, len(known)), BUCKETS), 0.5)
-    for lang, w in zip(langs, words, strict=True):
-        if lang in known:
-            counts[known.index(lang)] += np.bincount(w[:, 0], minlength=BUCKETS)
-    lang_log = np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32).copy()
+    lang_log = _language_words(ids, label, langs, words)
     if len(set(label.tolist())) < 2:
-        model = ToxicityModel(*_start(words, label), lang_log, np.zeros(max(1, len(known))))
+        model = ToxicityModel(*_start(words, label), lang_log, np.zeros(lang_log.shape[1]))
         model.weight[:] = 0
         model.offset = 2.0 if label.any() else -2.0
         return model
@@ -181,6 +176,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
+def _language_words(ids: list[int], label: np.ndarray, langs: list[str | None], words: list[np.ndarray]) -> np.ndarray:
+    """Log-probabilities, buckets x languages, of words in languages with ``LEAST_EACH`` documents of each label; all others share the last column."""
+    each = Counter((lang, y) for _, y, lang in {(i, y, lang) for i, y, lang in zip(ids, label.tolist(), langs, strict=True) if lang is not None})
+    known = sorted(lang for lang, y in each if y == 1 and min(each[lang, 0], each[lang, 1]) >= LEAST_EACH)
+    column = {lang: k for k, lang in enumerate(known)}
+    others = any(lang not in column for lang, _ in each)
+    counts = np.full((max(1, len(known) + others), BUCKETS), 0.5)
+    for lang, w in zip(langs, words, strict=True):
+        if lang is not None:
+            counts[column.get(lang, len(known))] += np.bincount(w[:, 0], minlength=BUCKETS)
+    return np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32).copy()
+
+
 def _fitted(words: list[np.ndarray], label: np.ndarray, lang_log: np.ndarray) -> ToxicityModel:
     model = ToxicityModel(*_start(words, label), lang_log, np.zeros(lang_log.shape[1]))
     _train(model, words, label)

@@ -4,7 +4,7 @@ import pytest
 from brute import ODD, documents, quality, quality_verdicts, rows_of, table
 from pyspark.sql import functions as F
 
-from meterlake.llm import language_id, quality_rules, queries
+from meterlake.llm import language_id, quality_rules, queries, toxicity
 from meterlake.llm.common import held_out
 
 SF = "/root/testdata/sf0.1"
@@ -93,27 +93,70 @@ def test_verdicts_do_not_depend_on_the_layout(spark):
 def test_the_language_model_does_not_depend_on_the_layout(spark):
     docs = documents(spark, "sf0.001")
     one, other = language_id.fit(docs), language_id.fit(docs.repartition(5, "text"))
-    assert one.languages == other.languages and (one.log_prob == other.log_prob).all()
+    assert one.languages == other.languages and (one.base == other.base).all() and (one.gain == other.gain).all() and (one.starts == other.starts).all()
 
 
 def test_scores_are_those_of_each_text_alone():
     import numpy as np
 
-    model = language_id.LanguageModel(["a", "b"], np.log(np.random.default_rng(1).random((1 << language_id.BUCKET_BITS, 2))).astype(np.float32))
+    rng, buckets = np.random.default_rng(1), 1 << language_id.BUCKET_BITS
+    dense = rng.integers(0, 4, (buckets, 3))
+    model = language_id.LanguageModel.from_counts(["a", "b", "c"], np.flatnonzero(dense)[::-1], dense.ravel()[np.flatnonzero(dense)][::-1])
+    log_prob = np.log((dense + language_id.SMOOTHING) / (dense + language_id.SMOOTHING).sum(axis=0))
     texts = ["", "x", "Äbc déf", "the cat sat", "\U0001f600 ok"]
-    together = language_id.score_texts(texts, model)
-    for t, row in zip(texts, together, strict=True):
-        padded, want = [ord(c) for c in f" {t.lower()} "], np.zeros(2)
+    for t, row in zip(texts, language_id.score_texts(texts, model), strict=True):
+        padded, want = [ord(c) for c in f" {t.lower()} "], np.zeros(3)
         for order in language_id.ORDERS:
             for i in range(len(padded) - order + 1):
-                want += model.log_prob[language_id.ngram_buckets(np.array(padded[i : i + order], np.uint32), order)[0]]
+                want += log_prob[language_id.ngram_buckets(np.array(padded[i : i + order], np.uint32), order)[0]]
         assert np.allclose(row, want)
 
 
-def test_many_languages_and_ties(spark):
-    rows = [(i, f"w{i % 300} w{i % 300} q{i % 300}", f"l{i % 300:03d}", "web") for i in range(600)]
+def test_the_fit_counts_each_ngram(spark, monkeypatch):
+    """Against counts of a plain loop, with tasks that hand on their counts early."""
+    import numpy as np
+
+    monkeypatch.setattr(language_id, "HELD_CELLS", 10)
+    rows = [(1, "Ab ab", "x", "web"), (2, "ab", "x", "web"), (3, "ba b", "y", "web"), (4, None, "y", "web"), (5, "no", None, "web")]
     model = language_id.fit(table(spark, rows))
-    assert len(model.languages) == 300 and model.bits == language_id.BUCKET_BITS - 1
+    want = np.zeros((1 << language_id.BUCKET_BITS, 2))
+    for _, text, lang, _ in rows[:3]:
+        padded = [ord(c) for c in f" {text.lower()} "]
+        for order in language_id.ORDERS:
+            for i in range(len(padded) - order + 1):
+                want[language_id.ngram_buckets(np.array(padded[i : i + order], np.uint32), order)[0], "xy".index(lang)] += 1
+    got = np.tile(model.base, (len(want), 1))
+    for bucket in range(len(want)):
+        for cell in range(model.starts[bucket], model.starts[bucket + 1]):
+            got[bucket, model.language[cell]] += model.gain[cell]
+    assert model.languages == ["x", "y"] and np.allclose(got, np.log((want + language_id.SMOOTHING) / (want + language_id.SMOOTHING).sum(axis=0)), atol=1e-5)
+
+
+def test_many_languages_and_ties(spark):
+    rows = [(i, f"w{i % 9000} w{i % 9000} q{i % 9000}", f"l{i % 9000:04d}", "web") for i in range(9000)]
+    docs = table(spark, rows)
+    model = language_id.fit(docs)
+    assert len(model.languages) == 9000
+    some = docs.filter("doc_id % 90 = 7")
+    got = language_id.predict(some, model, keep=["doc_id", "lang"]).collect()
+    assert len(got) == 100 and sum(r.lang_pred == r.lang for r in got) >= 95
     twins = language_id.fit(table(spark, [(1, "same words here", "b", "web"), (2, "same words here", "a", "web")]))
     got = language_id.predict(table(spark, [(3, "same words here", None, "web")]), twins).first()
     assert (got.lang_pred, got.score) == ("a", 0.5)  # of equals the first by name
+
+
+def test_thresholds_of_many_languages():
+    """Languages with enough documents of both labels have a column each, any number of others share one."""
+    import numpy as np
+
+    ids, label, langs, words = [], [], [], []
+    for k in range(400):
+        for i in range(24 if k < 3 else 4):
+            ids.append(k * 100 + i)
+            label.append(i % 2)
+            langs.append(f"l{k:03d}")
+            words.append(np.full((5, 4), k, np.int64))
+    table_ = toxicity._language_words([*ids, -1], np.array([*label, 1]), [*langs, None], [*words, np.full((5, 4), 999)])
+    assert table_.shape == (toxicity.BUCKETS, 4)
+    assert [int(table_[k].argmax()) for k in (0, 1, 2, 3, 200, 399)] == [0, 1, 2, 3, 3, 3]
+    assert np.allclose(np.exp(table_.astype(np.float64)).sum(axis=0), 1, atol=1e-3) and table_[999, 3] == table_[1000, 3]  # a null language teaches nothing
