@@ -6,7 +6,8 @@ import json
 import os
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEEP_ACKNOWLEDGED = 120
@@ -38,6 +39,31 @@ def save(path: str, value: dict[str, Any]) -> None:
     os.replace(part, path)
 
 
+def read_json(spark: SparkSession, path: str, defaults: dict[str, Any]) -> dict[str, Any]:
+    """``load`` from any file system of Spark's. A document that is there but can't be read is an error, not the defaults."""
+    try:
+        row = spark.read.text(path, wholetext=True).first()
+    except AnalysisException:  # no such file
+        return merge(defaults, {})
+    try:
+        found = json.loads(row[0]) if row else None
+    except ValueError:
+        found = None
+    return merge(defaults, found if isinstance(found, dict) else {})
+
+
+def write_json(spark: SparkSession, path: str, value: dict[str, Any]) -> None:
+    """``save`` to any file system of Spark's."""
+    fs, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    at, part = fs.Path(path), fs.Path(f"{path}.new")
+    stream = at.getFileSystem(conf).create(part, True)
+    stream.write(bytearray(json.dumps(value, indent=1, sort_keys=True).encode()))
+    stream.close()
+    over = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    over[0] = getattr(fs, "Options$Rename").OVERWRITE
+    fs.FileContext.getFileContext(at.getFileSystem(conf).getUri(), conf).rename(part, at, over)
+
+
 def acknowledge(dates: list[str], day: str) -> list[str]:
     """Acknowledged dates with one more; the last ``KEEP_ACKNOWLEDGED`` stay."""
     return [*[d for d in dates if d != day], day][-KEEP_ACKNOWLEDGED:]
