@@ -39,7 +39,6 @@ MAX_GROUPS = 20_000
 PARTS, CLASSES = 1024, 256
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 DIMS = ("x0", "x1", "x2", "x3")
-_MOST_STEPS = 200
 
 
 def word_array(text: Column) -> Column:
@@ -96,7 +95,7 @@ def _vector() -> dict[str, Column]:
     }
 
 
-#: Spreads that an estimate never goes below, so that a group in which most texts have a rate of 0 doesn't reject the others.
+#: Spreads whose squares are added to an estimate's variances, so that a group in which most texts have a rate of 0 doesn't reject the others.
 FLOORS = (0.08, 0.4, 0.4, 0.5)
 _PAIRS = [(i, j) for i in range(4) for j in range(i + 1)]
 _PARAMS = [*(f"m{i}" for i in range(4)), *(f"l{i}{j}" for i, j in _PAIRS)]
@@ -167,7 +166,8 @@ def estimates(vectors: DataFrame, prior: dict | None = None) -> DataFrame:
     spread = joined(first, *(f"abs({x} - med{i}) as far{i}" for i, x in enumerate(DIMS))).groupBy(*_GROUP).agg(*(median(f"far{i}", f"mad{i}") for i in range(4)))
     begin = [f"med{i} / {PARTS} as am{i}" for i in range(4)] + [f"greatest(1.4826D * mad{i} / {PARTS}, {FLOORS[i]!r}D) as al{i}{i}" for i in range(4)] + [f"0D as al{i}{j}" for i, j in _PAIRS if i != j]
     params = cut(first.drop("bdet").join(spread, _GROUP).selectExpr("*", *begin, "double('inf') as adet", "double('inf') as bdet", "true as moved").select(*_GROUP, *_STATE, "moved"))
-    for _ in range(_MOST_STEPS):
+    # a group moves only while its determinant falls by a fixed share, and floors keep that above 0, so all settle
+    while True:
         # groups that have settled keep their estimate and are left out of the sums
         live = params.filter("moved").drop("moved")
         radius = joined(live, *(f"{_class(s)} as {s}c" for s in "ab")).groupBy(*_GROUP).agg(*(F.expr(f"floor(percentile({s}c, 0.5)) as {s}q") for s in "ab"))
