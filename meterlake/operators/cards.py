@@ -17,11 +17,12 @@ LEAST_LEANER, LEAST_SHARE = 0.01, 0.005
 _NONE = "—"
 
 
-def card(streaks: DataFrame, summary: DataFrame, template: str = "streak", story: bool = False, show_mix: bool = True, show_cost: bool = False, top_projects: DataFrame | None = None) -> DataFrame:
+def card(streaks: DataFrame, summary: DataFrame, template: str = "streak", story: bool = False, show_mix: bool = True, show_cost: bool = False, top_projects: DataFrame | None = None, grouped: bool = True) -> DataFrame:
     """One row: headline, subline, range_label, stats (label, value), mix (tool, share), chip, top_projects, since, until, trail_since, max_days.
 
     ``streaks`` are dense days with streaks and ``summary`` their ``streak_summary``; ``top_projects`` is a row of ``share_card`` with
-    the names that may be shown. Costs stand on a card only if asked for; a card that isn't a ``story`` has three stats. Without days there is no card.
+    the names that may be shown. Costs stand on a card only if asked for; a card that isn't a ``story`` has three stats. Counts of
+    days have commas (2,499) unless they aren't to be ``grouped``. Without days there is no card.
     """
     c = F.col
     active = F.col("total") > 0
@@ -32,7 +33,7 @@ def card(streaks: DataFrame, summary: DataFrame, template: str = "streak", story
     row = row.crossJoin(F.broadcast(spent)).crossJoin(F.broadcast(_mix(own if show_mix else own.limit(0))))  # one row each
     if template == "year":
         row = row.crossJoin(F.broadcast(goals.best_run_within(own, c("_since"), c("_until"))))
-    headline, subline, chip, stats = _TEXTS[template](show_cost, story)
+    headline, subline, chip, stats = _TEXTS[template](show_cost, story, grouped)
     row = row.crossJoin(F.broadcast(top_projects.select("top_projects"))) if top_projects is not None else row.withColumn("top_projects", F.lit(None).cast("array<string>"))
     label = F.lit("Last 365 days") if template == "year" else times.day_span(c("since"), c("until"))
     return row.select(
@@ -74,34 +75,34 @@ def _stat(label: str | Column, value: Column) -> Column:
     return F.struct((F.lit(label) if isinstance(label, str) else label).alias("label"), value.alias("value"))
 
 
-def _count(n: str) -> Column:
-    return F.format_number(F.col(n), 0)
+def _count(n: str, grouped: bool) -> Column:
+    return F.format_number(F.col(n), 0) if grouped else F.col(n).cast("string")
 
 
-def _shown() -> dict[str, Column]:
+def _shown(grouped: bool) -> dict[str, Column]:
     """The stats that several cards share."""
     c = F.col
     busiest = F.when(c("busiest").isNotNull(), numbers.format_tokens(c("busiest_total"))).otherwise(_NONE)
     return {
-        "tokens": _stat("Tokens", numbers.format_tokens(c("tokens"))), "cache": _stat("From cache", numbers.format_percent(c("cache_share"))), "lit": _stat("Days lit", _count("days_lit")),
-        "active": _stat("Active days", _count("active_days")), "best": _stat("Best day", busiest), "busiest": _stat("Busiest day", busiest), "cost": _stat("Est. cost", numbers.format_usd(c("cost"), cents=False)),
+        "tokens": _stat("Tokens", numbers.format_tokens(c("tokens"))), "cache": _stat("From cache", numbers.format_percent(c("cache_share"))), "lit": _stat("Days lit", _count("days_lit", grouped)),
+        "active": _stat("Active days", _count("active_days", grouped)), "best": _stat("Best day", busiest), "busiest": _stat("Busiest day", busiest), "cost": _stat("Est. cost", numbers.format_usd(c("cost"), cents=False)),
     }
 
 
-def _year_texts(show_cost: bool, story: bool) -> tuple[Column, Column, Column, Column]:
-    s = _shown()
-    stats = F.array(s["lit"], _stat("Best streak", _count("best")), s["cost" if show_cost else "busiest"], s["cache"])
+def _year_texts(show_cost: bool, story: bool, grouped: bool) -> tuple[Column, Column, Column, Column]:
+    s = _shown(grouped)
+    stats = F.array(s["lit"], _stat("Best streak", _count("best", grouped)), s["cost" if show_cost else "busiest"], s["cache"])
     return F.lit("My year"), F.concat(F.lit("in light · "), numbers.format_tokens(F.col("tokens")), F.lit(" tokens")), F.lit(None).cast("string"), stats
 
 
-def _lean_texts(show_cost: bool, story: bool) -> tuple[Column, Column, Column, Column]:
-    c, s = F.col, _shown()
+def _lean_texts(show_cost: bool, story: bool, grouped: bool) -> tuple[Column, Column, Column, Column]:
+    c, s = F.col, _shown(grouped)
     known = c("per_million").isNotNull()
     leaner, money = known & (c("leaner") >= LEAST_LEANER), known & F.lit(show_cost)
     off = half_up(c("leaner") * 100).cast("string")
     minus = F.concat(F.lit("−"), off, F.lit("%"))
     cached = F.concat(numbers.percent_value(c("cache_share")).cast("string"), F.lit("%"))
-    third = F.when(leaner, _stat("Per token vs usual", minus)).otherwise(_stat("Active days", F.concat(_count("active_days"), F.lit(" of 7"))))
+    third = F.when(leaner, _stat("Per token vs usual", minus)).otherwise(_stat("Active days", F.concat(_count("active_days", grouped), F.lit(" of 7"))))
     priced = F.array(s["cache"], s["tokens"], _stat("Est. cost", numbers.format_usd(c("cost"))), _stat("Per 1M vs usual", minus))
     stats = F.when(money, priced).otherwise(F.array(s["cache"], s["tokens"], third, s["busiest"]))
     best = F.lit(", my leanest week yet")
@@ -113,12 +114,12 @@ def _lean_texts(show_cost: bool, story: bool) -> tuple[Column, Column, Column, C
     return headline, subline, F.when(c("enough"), "Personal best · leanest week"), stats
 
 
-def _streak_texts(show_cost: bool, story: bool) -> tuple[Column, Column, Column, Column]:
-    c, s = F.col, _shown()
+def _streak_texts(show_cost: bool, story: bool, grouped: bool) -> tuple[Column, Column, Column, Column]:
+    c, s = F.col, _shown(grouped)
     names = [n for n in ("tokens", "lit", "best", "cache") if story or n != "lit"]
     stats = F.array(*[s["cost" if show_cost and n == "best" else n] for n in names])
     first = c("run").isNull()
-    headline = F.when(first, "Day one").otherwise(F.concat(_count("run"), F.when(c("run") == 1, " day").otherwise(" days")))
+    headline = F.when(first, "Day one").otherwise(F.concat(_count("run", grouped), F.when(c("run") == 1, " day").otherwise(" days")))
     subline = F.when(first, "and the trail begins").when(~c("is_current"), "my longest run of light").when(c("run") > 1, "of unbroken light").otherwise("the first spark of a streak")
     return headline, subline, F.lit(None).cast("string"), F.when(first, F.array(s["tokens"], s["active"], s["cache"])).otherwise(stats)
 

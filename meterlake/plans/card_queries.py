@@ -94,7 +94,8 @@ def lean_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     since, until, CASE WHEN n = 0 THEN since ELSE since - 10 END AS trail_since, CAST(until - since + 1 + CASE WHEN n = 0 THEN 0 ELSE 10 END AS INT) AS max_days FROM span, spent""",
 )
 def streak_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _card(spark, sf_dir, "streak", story=True)
+    """Counts of days stand as plain digits, as the SQL has them."""
+    return _card(spark, sf_dir, "streak", story=True, grouped=False)
 
 
 _WEIGHTED = ", ".join(f"sum({t} / greatest(total, 1) * greatest(total, 1)) AS w_{t}" for t in _TOOLS)
