@@ -288,10 +288,17 @@ def loose_links(classes: DataFrame, least: float = LOOSE) -> DataFrame:
 
 
 def _anchors_alike(group: pa.Table):
-    """Whether enough anchors are in common; column tags."""
-    tags = np.frombuffer(b"".join(group.column(0).to_pylist()), np.uint8).reshape(-1, BINS)
-    some = tags > 0
-    return lambda i: ((tags == tags[i]) & some).sum(axis=1) >= LOOSE_ANCHORS * (some | some[i]).sum(axis=1)
+    """Whether enough anchors are in common; column tags. Bins lie along the first axis, so that sums over them go row by row."""
+    rows = np.frombuffer(b"".join(group.column(0).to_pylist()), np.uint8).reshape(-1, BINS)
+    tags, some = np.ascontiguousarray(rows.T), np.packbits(rows > 0, axis=1).view(np.uint32)[:, 0]
+
+    def alike(i: int) -> np.ndarray:
+        own = tags[:, i]
+        bins = tags if own.all() else tags[own > 0]
+        common = (bins == own[own > 0][:, None]).sum(axis=0, dtype=np.uint8)
+        return common >= LOOSE_ANCHORS * np.bitwise_count(some | some[i])
+
+    return alike
 
 
 def anchored_links(classes: DataFrame) -> DataFrame:

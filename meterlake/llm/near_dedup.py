@@ -133,27 +133,31 @@ def loosely_similar(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
 def _spanning(n: int, alike: Callable[[int], np.ndarray], label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (member, first member) that span the parts of n items under ``alike(i)``: which items are like item i.
 
-    Items of one ``label`` are linked already. Pairs inside a part already found needn't be looked at; so items of
+    Items of one ``label`` (from 0 to n - 1) are linked already. Pairs inside a part already found needn't be looked at; so items of
     the largest part are skipped, and the rest is held against all.
     """
     label = np.arange(n) if label is None else label.copy()
     before = label.copy()
+    counts = np.bincount(label, minlength=n)
+    parts = np.count_nonzero(counts)
     todo = np.ones(n, bool)
-    while True:
-        values, counts = np.unique(label, return_counts=True)
-        if len(values) == 1:
+    while parts > 1:
+        largest = counts.argmax()
+        outside = todo & (label != largest) if counts[largest] > 1 else todo
+        i = int(outside.argmax())
+        if not outside[i]:
             break
-        outside = todo & (label != values[counts.argmax()]) if counts.max() > 1 else todo
-        at = np.flatnonzero(outside)
-        if not len(at):
-            break
-        i = int(at[0])
         todo[i] = False
         hit = alike(i)
         hit[i] = True
         found = np.unique(label[hit])
         if len(found) > 1:
-            label[np.isin(label, found)] = found[0]
+            now = np.arange(n)
+            now[found] = found[0]
+            label = now[label]
+            counts[found[0]] = counts[found].sum()
+            counts[found[1:]] = 0
+            parts -= len(found) - 1
     changed = np.flatnonzero(label != before)
     first = changed[np.unique(before[changed], return_index=True)[1]]  # one member of each part that was linked on
     return [(int(i), int(label[i])) for i in first]
