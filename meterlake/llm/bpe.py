@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from meterlake.llm.common import tidy
+from meterlake.llm.common import text_runs, tidy
 
 #: White space as Unicode's White_Space property has it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -71,9 +71,9 @@ class BytePairEncoder:
         vocab, chars = spec["vocab"], _byte_chars()
         to_byte = {c: b for b, c in enumerate(chars)}
         self.byte_ids = [vocab[c] for c in chars]
-        self.pair: dict[int, tuple[int, int]] = {}
+        self.pair: dict[int, int] = {}  # rank and merged id in one number
         for rank, (a, b) in enumerate(spec["merges"]):
-            self.pair.setdefault(vocab[a] << 24 | vocab[b], (rank, vocab[a + b]))
+            self.pair.setdefault(vocab[a] << 24 | vocab[b], rank << 24 | vocab[a + b])
         self.bytes = {i: bytes(to_byte[c] for c in token) for token, i in vocab.items()}
         self.special = {t: i for t, i in spec["added"].items() if t}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
@@ -81,9 +81,10 @@ class BytePairEncoder:
         self.split = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         keys = sorted(self.pair)
         self.pair_keys = np.array(keys, np.int64)
-        self.pair_ranks = np.array([self.pair[k][0] for k in keys], np.int64)
+        packed_pairs = np.array([self.pair[k] for k in keys], np.int64)
+        self.pair_ranks = packed_pairs >> 24
         self.merged = np.zeros(len(spec["merges"]), np.int64)
-        self.merged[self.pair_ranks] = [self.pair[k][1] for k in keys]
+        self.merged[self.pair_ranks] = packed_pairs & 0xFFFFFF
         self.byte_table = np.array(self.byte_ids, np.int64)
         size = max(self.bytes) + 1
         #: Ids are kept in 16 bits where they fit.
@@ -104,8 +105,8 @@ class BytePairEncoder:
             found = pair.get(ids[i] << 24 | ids[j]) if j < n else None
             if found is None:
                 return _NONE
-            result[found[0]] = found[1]
-            return found[0] << 40 | i
+            result[found >> 24] = found & 0xFFFFFF
+            return found >> 24 << 40 | i
 
         for i in range(n - 1):
             tree[size + i] = leaf(i, i + 1)
@@ -330,7 +331,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(packed)
         for batch in batches:
-            rows = bpe.digests([text or "" for text in batch.column(1).to_pylist()])
+            rows = [row for _, texts in text_runs(batch.column(1), PART_CHARS) for row in bpe.digests([text or "" for text in texts])]
             n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
         bpe.forget()

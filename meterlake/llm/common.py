@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +81,12 @@ def runs(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def text_runs(texts: pa.Array, most: int) -> Iterator[tuple[int, list[str | None]]]:
+    """A batch's texts in groups of about ``most`` bytes, with each group's first row: only one group is held as Python texts."""
+    for lo, hi in runs(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), most):
+        yield lo, texts.slice(lo, hi - lo).to_pylist()
+
+
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts in one array, and the offset of each text (one more than texts)."""
     flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterlake.llm.common import codes, held_out, runs, small, tidy, uniform
+from meterlake.llm.common import codes, held_out, runs, small, text_runs, tidy, uniform
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 15
@@ -139,21 +139,21 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     any text if the model knows no language. Null ids, repeated rows and empty tables pass through.
     """
     named = keep or [id_col]
+    sent = named if text_col in named else [*named, text_col]  # a text goes to Python once
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            sure = [i for i, t in enumerate(texts) if t and known.languages and has_letter(t)]
-            lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for lo, hi in runs(np.array([len(texts[i]) for i in sure], np.int64), CHUNK_CHARS):
-                for i, logs in zip(sure[lo:hi], score_texts([texts[i] for i in sure[lo:hi]], known), strict=True):
-                    lang[i], score[i] = known.languages[logs.argmax()], 1 / np.exp(logs - logs.max()).sum()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[*named, "lang_pred", "score"])
+            lang, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+            for lo, texts in text_runs(batch.column(sent.index(text_col)), CHUNK_CHARS):
+                sure = [i for i, t in enumerate(texts) if t and known.languages and has_letter(t)]
+                for i, logs in zip(sure, score_texts([texts[i] for i in sure], known), strict=True):
+                    lang[lo + i], score[lo + i] = known.languages[logs.argmax()], 1 / np.exp(logs - logs.max()).sum()
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(named)], pa.array(lang, pa.string()), pa.array(score)], names=[*named, "lang_pred", "score"])
 
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in named]).add("lang_pred", "string").add("score", "double")
-    return docs.select(*named, F.col(text_col).alias("_li_text")).mapInArrow(tidy(run), schema)
+    return docs.select(*sent).mapInArrow(tidy(run), schema)
 
 
 def fit_unheld(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType, StringType
 
 from meterlake.llm.common import LOWER, NULL_ID, SPACES, UPPER, boxed, cut, tidy, unboxed
@@ -99,17 +99,16 @@ def _row(batch: pa.RecordBatch, at: np.ndarray, kind: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *part.columns], names=["kind", *part.schema.names])
 
 
-@pandas_udf(BinaryType())
-def pack_bitmap(dropped, n_lines):
+@arrow_udf(BinaryType())
+def pack_bitmap(dropped: pa.Array, n_lines: pa.Array) -> pa.Array:
     """zlib of the packed bits, one a line, 1: keep."""
-    import pandas as pd
 
-    def pack(places, n):
+    def pack(places: pa.ListScalar, n: int) -> bytes:
         keep = np.ones(n, bool)
-        keep[np.concatenate(places).astype(np.int64)] = False
+        keep[places.values.flatten().to_numpy()] = False
         return zlib.compress(np.packbits(keep).tobytes(), 6)
 
-    return pd.Series([pack(p, n) for p, n in zip(dropped, n_lines, strict=True)], dtype=object)
+    return pa.array([pack(p, n) for p, n in zip(dropped, n_lines.to_pylist(), strict=True)], pa.binary())
 
 
 def unpack_bitmap(bitmap: bytes, n: int) -> np.ndarray:
@@ -179,14 +178,14 @@ def digest_kept(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", tex
     return rows.mapInArrow(tidy(digest), f"`{id_col}` {kind}, n_lines long, n_dropped long, kept_sha256 string")
 
 
-@pandas_udf(StringType())
-def _apply_bitmap(text, bitmap):
-    import pandas as pd
-
-    return pd.Series([_kept_text(t, b)[0] if b is not None else t for t, b in zip(text, bitmap, strict=True)], dtype=object)
+@arrow_udf(StringType())
+def _apply_bitmap(text: pa.Array, bitmap: pa.Array) -> pa.Array:
+    """The kept lines of texts that have a bitmap, else null."""
+    return pa.array([_kept_text(t.as_py(), b.as_py())[0] if b.is_valid else None for t, b in zip(text, bitmap, strict=True)], pa.string())
 
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns, the text without the lines that its bitmap drops (a null text stays null)."""
     out = with_bitmaps(boxed(docs, id_col, text_col), bitmaps, id_col, text_col)
-    return unboxed(out.withColumn(text_col, _apply_bitmap(text_col, "_ld_bitmap")), docs.columns, id_col, text_col)
+    cut_text = _apply_bitmap(F.when(F.col("_ld_bitmap").isNotNull(), F.col(text_col)), "_ld_bitmap")  # only texts that lose lines go to Python
+    return unboxed(out.withColumn(text_col, F.coalesce(cut_text, F.col(text_col))), docs.columns, id_col, text_col)

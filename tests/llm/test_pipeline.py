@@ -2,12 +2,14 @@
 
 import hashlib
 
+import pyarrow as pa
 from brute import WORD, documents, line_dedup, near_groups, rows_of
+from pyspark.util import PythonEvalType
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from meterlake.llm import mixing
-from meterlake.llm.common import cut
+from meterlake.llm import language_id, line_dedup, mixing
+from meterlake.llm.common import boxed, cut, text_runs
 from meterlake.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +49,22 @@ def test_stages(spark):
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()))
     assert sorted(rows_of(stages["bpe"](spark, mixed, SF), "doc_id", "n_tokens", "ids_sha256")) == sorted(want)
     assert sorted(rows_of(corpus_pipeline.run(spark, SF), "doc_id", "n_tokens", "ids_sha256")) == sorted(want)
+
+
+def test_a_text_goes_to_python_once_and_only_if_it_loses_lines(spark):
+    docs = documents(spark, "sf0.001")
+    told = language_id.predict(boxed(docs, "text"), language_id.fit_unheld(docs), keep=["doc", "text"])
+    sent = told._jdf.queryExecution().optimizedPlan().children().head().output()
+    assert sent.mkString(",").count("text#") == 1 and sent.size() == 2
+    rows = [(1, "a line of some length\nx"), (2, "a line of some length\ny"), (3, None), (4, "another line of its own")]
+    some = spark.createDataFrame(rows, "doc_id long, text string")
+    lined = line_dedup.drop_lines(some, line_dedup.keep_bitmaps(some))
+    assert sorted(rows_of(lined, "doc_id", "text")) == [(1, rows[0][1]), (2, "y"), (3, None), (4, rows[3][1])]
+    plan = lined._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN isnotnull(_ld_bitmap" in plan and line_dedup._apply_bitmap.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF  # no pandas on workers
+
+
+def test_texts_are_taken_from_a_batch_in_groups():
+    texts = pa.array(["ab", None, "", "x" * 9, "y", "zz"])
+    assert list(text_runs(texts, 4)) == [(0, ["ab", None, ""]), (3, ["x" * 9]), (4, ["y", "zz"])]
+    assert list(text_runs(texts[:0], 4)) == []
