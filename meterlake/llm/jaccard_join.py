@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from meterlake.llm.common import cut, runs, small, tidy
 from meterlake.llm.components import components
-from meterlake.llm.near_dedup import BROADCAST_ROWS, CHUNK_CHARS, REGISTERS, _groups, _streamed, exact_alike, shingle_sets, sketch, spanning_links
+from meterlake.llm.near_dedup import BROADCAST_ROWS, CHUNK_CHARS, REGISTERS, Alike, _groups, _streamed, exact_alike, shingle_sets, sketch, spanning_links
 
 PERCENT = 85
 #: Register triples of the 96 registers.
@@ -66,11 +66,11 @@ def distances(sets: list[np.ndarray], pivots: list[np.ndarray]) -> tuple[np.ndar
     return common, union, 1 - common / union
 
 
-def metric_alike(percent: int) -> Callable[[pa.Table], Callable[[int], np.ndarray]]:
+def metric_alike(percent: int) -> Callable[[pa.Table], Alike]:
     """``exact_alike`` behind windows of the distances to a few pivots, each the set farthest from those before; column set."""
     exact, reach = exact_alike(percent), 1 - percent / 100 + SLACK
 
-    def alike_in(group: pa.Table) -> Callable[[int], np.ndarray]:
+    def alike_in(group: pa.Table) -> Alike:
         if group.num_rows <= TASK_SETS:
             return exact(group)
         sets = [np.frombuffer(s, "<u8") for s in group.column(0).to_pylist()]
@@ -80,18 +80,20 @@ def metric_alike(percent: int) -> Callable[[pa.Table], Callable[[int], np.ndarra
             at = int(np.min(away, axis=0).argmax())
         away = np.stack(away, axis=1)
 
-        def alike(i: int) -> np.ndarray:
-            near = np.flatnonzero((np.abs(away - away[i]) <= reach).all(axis=1))
-            out = np.zeros(len(sets), bool)
-            out[i] = True
-            if len(near) > 1:
-                own = int(np.searchsorted(near, i))
-                out[near] = exact(group.take(pa.array(near)))(own) if len(near) < len(sets) // 4 else whole()(i)[near]
+        def alike(i: int, lo: int = 0, hi: int | None = None) -> np.ndarray:
+            near = lo + np.flatnonzero((np.abs(away[lo:hi] - away[i]) <= reach).all(axis=1))
+            out = np.zeros(len(away[lo:hi]), bool)
+            if len(near) >= len(sets) // 4:
+                return whole()(i, lo, hi)
+            if (near != i).any():
+                out[near - lo] = exact(group.take(pa.array(np.append(near, i))))(len(near))[:-1]
+            else:
+                out[near - lo] = True
             return out
 
         kept: list = []
 
-        def whole() -> Callable[[int], np.ndarray]:
+        def whole() -> Alike:
             kept.extend([] if kept else [exact(group)])
             return kept[0]
 

@@ -15,7 +15,8 @@
 Large buckets and clusters are cut into blocks of bounded size (``spanning_links``). First each block is compared
 with the group's leader, whose row goes to all of them. What is like the leader needs no more looking at among
 itself; only what isn't goes to further tasks, each with a block of the rest and a block of the group. So a group
-of copies of one text costs as much as its size, no task holds a whole large group, and no pair is lost.
+of copies of one text costs as much as its size, no task holds a whole large group, and no pair is lost. Two blocks
+meet once, and then only pairs of a row of one with a row of the other are looked at.
 
 With 24 bands of 4 registers, a pair of similarity 0.8 shares a bucket with probability over
 0.999996, and loose links lose one with a probability below 1e-5.
@@ -45,8 +46,14 @@ LOOSE = 0.6
 PERCENT = 80
 #: A bucket is cut into blocks of about so many classes, a cluster into blocks of so many shingles.
 BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 1 << 20
-#: Elements of a set of middle size that share a bin, where sets are compared by their bins first.
-SET_BIN = 4
+#: Where sets are compared by bitmaps first, these have 2 to these powers bits for each element, and up to twice as many.
+MAP_BITS = (2, 5)
+#: So few sets are compared without bitmaps.
+MAP_SETS = 8
+#: Bitmaps are filled for about so many elements at a time.
+MAP_CHUNK = 1 << 18
+#: Where blocks may be wider, a large group has about so many at least.
+FEWEST_BLOCKS = 8
 BROADCAST_ROWS = 500_000
 CHUNK_CHARS = 500_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -130,11 +137,16 @@ def loosely_similar(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
     return reach & (gain - larger * v * slope_of(x) / p(x) - smaller * u * slope_of(y) / p(y) >= 0)
 
 
-def _spanning(n: int, alike: Callable[[int], np.ndarray], label: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links (member, first member) that span the parts of n items under ``alike(i)``: which items are like item i.
+#: ``alike(i, lo, hi)``: which of the items from lo to hi (all, if not given) are like item i.
+Alike = Callable[..., np.ndarray]
+
+
+def _spanning(n: int, alike: Alike, label: np.ndarray | None = None, split: int | None = None) -> list[tuple[int, int]]:
+    """Links (member, first member) that span the parts of n items.
 
     Items of one ``label`` (from 0 to n - 1) are linked already. Pairs inside a part already found needn't be looked at; so items of
-    the largest part are skipped, and the rest is held against all.
+    the largest part are skipped, and the rest is held against all. With ``split`` only pairs of an item before it with one from
+    it on count; where some are found, the item's own side is looked at too, as what is like it there needn't be held against the other side.
     """
     label = np.arange(n) if label is None else label.copy()
     before = label.copy()
@@ -143,21 +155,32 @@ def _spanning(n: int, alike: Callable[[int], np.ndarray], label: np.ndarray | No
     todo = np.ones(n, bool)
     while parts > 1:
         largest = counts.argmax()
-        outside = todo & (label != largest) if counts[largest] > 1 else todo
-        i = int(outside.argmax())
-        if not outside[i]:
+        queue = np.flatnonzero(todo & (label != largest) if counts[largest] > 1 else todo)
+        if not len(queue):
             break
-        todo[i] = False
-        hit = alike(i)
-        hit[i] = True
-        found = np.unique(label[hit])
-        if len(found) > 1:
+        if split is not None:
+            left = np.flatnonzero(todo[:split])
+            if not len(left):
+                break
+            # the other side's turn, unless those left on this one are fewer
+            queue = queue[queue < split] if queue[0] < split else min(queue, left, key=len)
+        for i in queue.tolist():
+            todo[i] = False
+            lo, hi = (0, n) if split is None else (split, n) if i < split else (0, split)
+            hit = label[lo:hi][alike(i, lo, hi)]
+            if (hit == label[i]).all():
+                continue
+            found = np.unique(np.append(hit, label[i]))
+            if split is not None:
+                lo, hi = (0, split) if i < split else (split, n)
+                found = np.unique(np.append(found, label[lo:hi][alike(i, lo, hi)]))
             now = np.arange(n)
             now[found] = found[0]
             label = now[label]
             counts[found[0]] = counts[found].sum()
             counts[found[1:]] = 0
             parts -= len(found) - 1
+            break
     changed = np.flatnonzero(label != before)
     first = changed[np.unique(before[changed], return_index=True)[1]]  # one member of each part that was linked on
     return [(int(i), int(label[i])) for i in first]
@@ -218,41 +241,78 @@ def _groups(table: pa.Table, key_columns: int) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
 
 
-def _bucket_alike(group: pa.Table) -> Callable[[int], np.ndarray]:
+def _bucket_alike(group: pa.Table) -> Alike:
     """Loose likeness of sketches; columns n, regs."""
     n = group.column(0).to_numpy().astype(np.float64)
     regs = np.frombuffer(b"".join(group.column(1).to_pylist()), "<u2").reshape(-1, REGISTERS)
-    return lambda i: loosely_similar(regs, regs[i], n, n[i])
-
-
-def exact_alike(percent: int) -> Callable[[pa.Table], Callable[[int], np.ndarray]]:
+    return lambda i, lo=0, hi=None: loosely_similar(regs[lo:hi], regs[i], n[lo:hi], n[i])
+
+
+class _Bitmaps:
+    """Sets (sorted hashes, none empty) as bitmaps: an element sets the bit that its leading bits name."""
+
+    def __init__(self, sets: list[np.ndarray], bits: int) -> None:
+        self.sets, self.sizes, self.bits = sets, np.array([len(s) for s in sets]), bits
+        self.power = np.ceil(np.log2(self.sizes)).astype(np.int64)
+        self.place = np.empty(len(sets), np.int64)  # among the sets of one power
+        for p in np.unique(self.power).tolist():
+            self.place[self.power == p] = np.arange(np.count_nonzero(self.power == p))
+        self.made: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(self, power: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bitmaps of 2 ** width bits of all sets of a power, and their numbers of bits that are set."""
+        if (power, width) not in self.made:
+            rows = np.flatnonzero(self.power == power)
+            maps = np.zeros((len(rows), 1 << width - 6), np.uint64)
+            for lo, hi in runs(self.sizes[rows], MAP_CHUNK):
+                elements = np.concatenate([self.sets[r] for r in rows[lo:hi].tolist()])
+                bit = elements >> np.uint64(64 - width)
+                word = np.repeat(np.arange(hi - lo) << width - 6, self.sizes[rows[lo:hi]]) + (bit >> np.uint64(6)).astype(np.int64)
+                heads = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+                maps[lo:hi].reshape(-1)[word[heads]] = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), heads)
+            self.made[power, width] = maps, np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+        return self.made[power, width]
+
+    def most_common(self, at: np.ndarray, i: int) -> np.ndarray:
+        """The most elements that set i can have in common with each set of ``at``: a bit that only one of them has is an element that the other lacks."""
+        out = np.zeros(len(at), np.int64)
+        for p in np.unique(self.power[at]).tolist():
+            here = np.flatnonzero(self.power[at] == p)
+            own_power = int(self.power[i])
+            width = max(min(p, own_power) + self.bits, 6)
+            (maps, bits), (own_maps, own_bits) = self.of(p, width), self.of(own_power, width)
+            rows, own = self.place[at[here]], self.place[i]
+            both = np.bitwise_count((maps if len(rows) == len(maps) else maps[rows]) & own_maps[own]).sum(axis=1, dtype=np.int64)
+            out[here] = np.minimum(self.sizes[i] - own_bits[own], self.sizes[at[here]] - bits[rows]) + both
+        return out
+
+
+def exact_alike(percent: int) -> Callable[[pa.Table], Alike]:
     """Exact likeness of sets: 100 * intersection >= percent * union; column set, none of them empty.
 
-    Sets are counted by bins of their hashes. Two sets have at most the sum of the bins' smaller counts in common, so a pair
-    whose sizes or bins can't reach ``percent`` is settled; only the others' elements are compared.
+    A pair whose sizes or bitmaps can't reach ``percent`` is settled; only the others' elements are compared.
     """
 
-    def alike_in(group: pa.Table) -> Callable[[int], np.ndarray]:
+    def alike_in(group: pa.Table) -> Alike:
         sets = [np.frombuffer(s, "<u8") for s in group.column(0).to_pylist()]
-        sizes, flat = np.array([len(s) for s in sets]), np.concatenate(sets)
-        starts = np.cumsum(sizes) - sizes
-        bins = 1 << max(int(np.log2(len(flat) / len(sets) / SET_BIN)), 3)
-        place = np.repeat(np.arange(len(sets)) * bins, sizes) + (flat & np.uint64(bins - 1)).astype(np.int64)
-        counts = np.bincount(place, minlength=len(sets) * bins).astype(np.float32).reshape(-1, bins)
+        sizes = np.array([len(s) for s in sets])
+        maps = [_Bitmaps(sets, bits) for bits in MAP_BITS] if len(sets) > MAP_SETS else []
 
         def enough(at: np.ndarray, i: int, common: np.ndarray) -> np.ndarray:
             return 100 * common >= percent * (sizes[at] + sizes[i] - common)
 
-        def alike(i: int) -> np.ndarray:
-            at = np.flatnonzero(100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
-            at = at[enough(at, i, np.minimum(counts[at], counts[i]).sum(axis=1).astype(np.int64))]
-            ends = np.cumsum(sizes[at])
-            firsts = ends - sizes[at]
-            elements = flat[np.repeat(starts[at] - firsts, sizes[at]) + np.arange(ends[-1])]
-            own = sets[i]
-            found = own[np.minimum(np.searchsorted(own, elements), len(own) - 1)] == elements
-            out = np.zeros(len(sets), bool)
-            out[at] = enough(at, i, np.add.reduceat(found.astype(np.int64), firsts))
+        def alike(i: int, lo: int = 0, hi: int | None = None) -> np.ndarray:
+            near, own = sizes[lo:hi], sets[i]
+            at = lo + np.flatnonzero(100 * np.minimum(near, sizes[i]) >= percent * np.maximum(near, sizes[i]))
+            for level in maps:
+                at = at[enough(at, i, level.most_common(at, i))]
+            out = np.zeros(len(near), bool)
+            for first, last in runs(sizes[at], MAP_CHUNK):
+                some = at[first:last]
+                elements = np.concatenate([sets[k] for k in some.tolist()])
+                found = own[np.minimum(np.searchsorted(own, elements), len(own) - 1)] == elements
+                common = np.add.reduceat(found.astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+                out[some - lo] = enough(some, i, common)
             return out
 
         return alike
@@ -260,11 +320,11 @@ def exact_alike(percent: int) -> Callable[[pa.Table], Callable[[int], np.ndarray
     return alike_in
 
 
-def spanning_links(rows: DataFrame, weight: Column, block: int, alike_in: Callable[[pa.Table], Callable[[int], np.ndarray]]) -> DataFrame:
+def spanning_links(rows: DataFrame, weight: Column, block: int, alike_in: Callable[[pa.Table], Alike], wider: int = 1) -> DataFrame:
     """Links (u, v) that span the alike parts of each group of ``rows`` (key long, fp, what ``alike_in`` needs); ``fp`` is unique in a group.
 
-    A block has rows of about ``block`` in the sum of ``weight``. ``alike_in`` gets the last columns of a group's rows and
-    says which are like its i-th. Groups of one row give no link, no rows give none.
+    A block has rows of about ``block`` in the sum of ``weight``, of up to ``wider`` times as much where a large group's rest is compared.
+    ``alike_in`` gets the last columns of a group's rows and says which are like its i-th. Groups of one row give no link, no rows give none.
     """
     payload = rows.columns[2:]
     kind = rows.schema["fp"].dataType
@@ -273,7 +333,7 @@ def spanning_links(rows: DataFrame, weight: Column, block: int, alike_in: Callab
     groups = rows.groupBy("key").agg(F.ceil(F.sum(weight) / block).alias("blocks"), F.min("fp").alias("lead"), F.count("*").alias("members")).filter("members > 1").drop("members")
     known = rows.join(small(cut(groups), BROADCAST_ROWS), "key")
     own = lambda blocks: F.pmod(F.xxhash64("fp"), F.col(blocks))
-    every = lambda blocks: F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)
+    every = lambda blocks: F.sequence(F.lit(0).cast("long"), (F.col(blocks) if isinstance(blocks, str) else blocks) - 1)
 
     def batch(us: list, vs: list, keys: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(us, arrow_kind), pa.array(vs, arrow_kind), pa.array(keys, pa.int64())], names=["u", "v", "key"])
@@ -306,26 +366,30 @@ def spanning_links(rows: DataFrame, weight: Column, block: int, alike_in: Callab
         return links
 
     def by_rest(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Columns key, bi, bj, fp, free, payload: a block of a group with a block of its rest; rows that aren't free are linked already."""
-        bounds, fps, free, us, vs = _groups(table, 3), table.column(3).to_pylist(), table.column(4).to_numpy(zero_copy_only=False), [], []
+        """Columns key, bi, bj, second, fp, free, payload: two blocks of a group, or one with itself; rows that aren't free are linked already."""
+        bounds, fps, us, vs = _groups(table, 3), table.column(4).to_pylist(), [], []
+        bi, bj, second, free = (table.column(i).to_numpy() for i in (1, 2, 3, 5))
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            at = [i for i in range(lo, hi) if i == lo or fps[i] != fps[i - 1]]  # a row of the rest may stand in both blocks
-            alike = alike_in(table.take(at).select(range(5, table.num_columns)))
-            first = next((k for k, i in enumerate(at) if not free[i]), 0)
-            label = np.array([k if free[i] else first for k, i in enumerate(at)])
-            links = _spanning(len(at), alike, label)
-            us += [fps[at[i]] for i, _ in links]
-            vs += [fps[at[j]] for _, j in links]
+            n, split = hi - lo, None if bi[lo] == bj[lo] else int(np.count_nonzero(~second[lo:hi]))
+            if split in (0, n):
+                continue
+            linked = np.flatnonzero(~free[lo:hi])
+            label = np.arange(n)
+            label[linked] = linked[:1]
+            links = _spanning(n, alike_in(table.slice(lo, n).select(range(6, table.num_columns))), label, split)
+            us += [fps[lo + i] for i, _ in links]
+            vs += [fps[lo + j] for _, j in links]
         yield batch(us, vs, [None] * len(us))
 
     rest = small(rest, BROADCAST_ROWS)
     marked = known.join(small(rest.select("key").distinct(), BROADCAST_ROWS), "key", "left_semi").join(rest, ["key", "fp"], "left").withColumn("free", F.coalesce("free", F.lit(False)))
-    of_rest = marked.filter("free")
-    sizes = of_rest.groupBy("key").agg(F.ceil(F.sum(weight) / block).alias("rest_blocks"))
-    marked, of_rest = (x.join(small(sizes, BROADCAST_ROWS), "key") for x in (marked, of_rest))
-    columns = ["key", "bi", "bj", "fp", "free", *payload]
-    pairs = marked.withColumns({"bi": own("blocks"), "bj": F.explode(every("rest_blocks"))}).select(columns).unionByName(of_rest.withColumns({"bj": own("rest_blocks"), "bi": F.explode(every("blocks"))}).select(columns))
-    dealt = pairs.repartition(n, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "fp")
+    wide = F.greatest(F.lit(block), F.least(F.lit(block * wider), F.sum(weight) / FEWEST_BLOCKS))
+    counts = marked.groupBy("key").agg(*[F.ceil(F.sum(F.when(which, weight)) / wide).alias(name) for name, which in (("rests", F.col("free")), ("others", ~F.col("free")))])
+    # blocks of the rest come first; each of them meets itself, the others of the rest and those of the other rows
+    placed = marked.join(small(counts, BROADCAST_ROWS), "key").withColumn("mine", F.when(F.col("free"), own("rests")).otherwise(F.col("rests") + own("others")))
+    met = placed.withColumn("other", F.explode(F.when(F.col("free"), every(F.col("rests") + F.col("others"))).otherwise(every("rests"))))
+    pairs = met.select("key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), (F.col("mine") > F.col("other")).alias("second"), "fp", "free", *payload)
+    dealt = pairs.repartition(n, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "second", "fp")
     return links.unionByName(dealt.mapInArrow(tidy(_streamed(3, by_rest)), schema).select("u", "v"))
 
 

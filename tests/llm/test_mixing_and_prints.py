@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from meterlake.llm import edit_fingerprint as prints
 from meterlake.llm import mixing, near_dedup, queries, url_filter
+from meterlake.llm.components import components
 
 SF = "/root/testdata/sf0.01"
 
@@ -353,3 +354,82 @@ def test_blocks_of_unlike_texts_take_less_than_naive_comparisons():
 
     assert parts(links) == parts((i, j) for i, row in enumerate(alike) for j in np.flatnonzero(row).tolist() if j != i)
     assert took < naive
+
+
+def counted(alike, looked):
+    """``alike``, and how many items it was asked about."""
+
+    def asked(i, lo=0, hi=None):
+        out = alike(i, lo, hi)
+        looked.append(len(out))
+        return out
+
+    return asked
+
+
+def test_two_blocks_are_held_against_each_other_only():
+    """Pairs of a row of one block with a row of the other: the parts of a plain search over them, in half of its comparisons."""
+    rng = np.random.default_rng(6)
+    tags = rng.integers(1, 256, (900, 32))[rng.integers(0, 900, 1200)].astype(np.uint8)  # some rows come again
+    tags[1000:] = tags[1000]  # the part of those that are linked already
+    whole = prints._anchors_alike(pa.table({"tags": pa.array([t.tobytes() for t in tags], pa.binary())}))
+    for label in (None, np.where(np.arange(1200) < 1000, np.arange(1200), 1000)):
+        looked = []
+        links = near_dedup._spanning(1200, counted(whole, looked), label, 600)
+        top = list(range(1200)) if label is None else label.tolist()
+        for u, v in links:
+            top = [top[v] if x == top[u] else x for x in top]
+        hits = [np.flatnonzero(whole(i)) for i in range(1200)]
+        assert all(top[i] == top[j] for i in range(600) for j in hits[i].tolist() if j >= 600)
+        assert all(whole(u)[v] or top[u] == top[v] for u, v in links) and len({top[i] for i in range(1000)}) > 500
+        assert sum(looked) < 1200 * 1200 / 2
+    some = prints._anchors_alike(pa.table({"tags": pa.array([t.tobytes() for t in tags[:60]], pa.binary())}))
+    assert all((some(i) == whole(i, 0, 60)).all() and (some(i, 20, 40) == whole(i, 20, 40)).all() for i in range(60))
+
+
+def test_blocks_of_a_groups_rest_meet_once(spark):
+    """A group of unlike texts in many blocks: all links are found, and a pair of texts isn't compared again and again."""
+    rng = np.random.default_rng(7)
+    near = rng.integers(1, 256, (150, 32))[np.arange(300) // 2].astype(np.uint8)
+    rows = spark.createDataFrame([(7, int(i), bytearray(t.tobytes())) for i, t in enumerate(near)], "key long, fp long, tags binary")
+    looked = spark.sparkContext.accumulator(0)
+
+    def alike_in(group):
+        alike = prints._anchors_alike(group)
+
+        def asked(i, lo=0, hi=None):
+            out = alike(i, lo, hi)
+            looked.add(len(out))
+            return out
+
+        return asked
+
+    for wider in (1, 4):
+        looked.value = 0
+        links = near_dedup.cut(near_dedup.spanning_links(rows, F.lit(1), 30, alike_in, wider))
+        parts = {r.node: r.component for r in components(links).collect()}
+        assert parts == {i: i - i % 2 for i in range(300)}
+        assert looked.value < 300 * 300
+
+
+def test_unlike_sets_are_settled_without_their_elements():
+    """Sets of one family with half or two thirds in common: exact, in a fraction of the time that their elements take."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, 2400, dtype=np.uint64)
+    sets = []
+    for share in rng.uniform(0.6, 0.95, 300):
+        own = base[rng.random(2400) < share]
+        sets.append(np.unique(np.concatenate([own, rng.integers(0, 2**64, 2400 - len(own), dtype=np.uint64)])))
+    table = pa.table({"set": pa.array([s.tobytes() for s in sets], pa.large_binary())})
+    began = time.perf_counter()
+    alike = near_dedup.exact_alike(80)(table)
+    got = [alike(i) for i in range(300)]
+    took = time.perf_counter() - began
+    began = time.perf_counter()
+    flat, ends = np.concatenate(sets), np.cumsum([len(s) for s in sets])
+    for i, own in enumerate(sets):
+        found = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        common, sizes = np.add.reduceat(found.astype(np.int64), np.append(0, ends[:-1])), np.diff(ends, prepend=0)
+        assert (got[i] == (100 * common >= 80 * (sizes + len(own) - common))).all()
+        assert (alike(i, 50, 90) == got[i][50:90]).all()
+    assert took < (time.perf_counter() - began) / 3
